@@ -73,8 +73,9 @@ def attach_per_key(rows: DataFrame, per_key: DataFrame, key: str, count: str, sp
 
 
 def spread_hash(*cols: Column) -> Column:
-    """31 uniform bits of the given columns, for orders that ignore meaning."""
-    return F.shiftrightunsigned(F.xxhash64(*cols), 33)
+    """31 uniform bits of the given columns as text, for orders that ignore meaning."""
+    joined = F.concat_ws(":", *[F.coalesce(c.cast("string"), F.lit("")) for c in cols])
+    return F.shiftright(F.conv(F.substring(F.md5(joined), 1, 8), 16, 10).cast("long"), 1)
 
 
 def bucket_count(rows: int) -> int:

@@ -12,4 +12,5 @@ QUERIES = {
 
 ORACLES = {
     "op1_exact_dedup": exact_dedup.ORACLE,
+    "op5_mixing": mixing.ORACLE,
 }

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from votelake.llm import exact_dedup, mixing, sharding
+from votelake.llm import bpe, exact_dedup, media, mixing, sharding
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.query,
+    "op2_media": media.query,
     "op4_sharding": sharding.query,
     "op5_mixing": mixing.query,
+    "op6_bpe": bpe.query,
 }
 
 ORACLES = {

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from votelake.llm import bpe, exact_dedup, media, mixing, sharding, simhash
+from votelake.llm import bpe, exact_dedup, media, mixing, sharding, simhash, toxicity
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_sharding": sharding.query,
     "op5_mixing": mixing.query,
     "op6_bpe": bpe.query,
+    "op9_toxicity": toxicity.query,
     "op10_simhash": simhash.query,
 }
 

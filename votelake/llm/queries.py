@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from votelake.llm import bpe, exact_dedup, media, mixing, sharding, simhash, toxicity
+from votelake.llm import bpe, exact_dedup, media, mixing, pii, sharding, simhash, toxicity
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.query,
     "op2_media": media.query,
+    "op3_pii": pii.query,
     "op4_sharding": sharding.query,
     "op5_mixing": mixing.query,
     "op6_bpe": bpe.query,

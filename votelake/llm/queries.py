@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from votelake.llm import bpe, exact_dedup, line_dedup, media, mixing, pii, sharding, simhash, toxicity
+from votelake.llm import bpe, exact_dedup, licenses, line_dedup, media, mixing, pii, sharding, simhash, toxicity
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_sharding": sharding.query,
     "op5_mixing": mixing.query,
     "op6_bpe": bpe.query,
+    "op7_licenses": licenses.query,
     "op8_line_dedup": line_dedup.query,
     "op9_toxicity": toxicity.query,
     "op10_simhash": simhash.query,

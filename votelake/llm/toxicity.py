@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -31,7 +32,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SAMPLE = 2000
+from votelake.llm.common import materialize
+
+SAMPLE = 1500
 LONGEST = 20_000
 BUCKETS = 1 << 18
 DIM = 2
@@ -41,7 +44,6 @@ EPOCHS = 40
 RATE = 0.2
 RARE = 4
 SHRINK = 4.0
-_trace = False
 SEED = 7
 THRESHOLD = 0.7
 CACHE = 200_000
@@ -72,75 +74,71 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     if len(set(labels)) < 2:
         return Model(np.zeros(BUCKETS, dtype=np.float32), -60.0)
     ids: dict[str, int] = {}
-    stream, window_of, first_window = [], [], [0]
+    stream, per_text = array("i"), array("i")
     for text in texts:
-        words = [ids.setdefault(w, len(ids)) for w in text.split()]
-        stream += words
-        start = first_window[-1]
-        window_of += [start + i // WINDOW for i in range(len(words))]
-        first_window.append(start + -(-len(words) // WINDOW))
-    stream, window_of = np.array(stream, dtype=np.int64), np.array(window_of, dtype=np.int64)
+        before = len(stream)
+        stream.extend(ids.setdefault(w, len(ids)) for w in text.split())
+        per_text.append(len(stream) - before)
+    n_sub, grams = array("i"), array("i")
+    for w in ids:
+        bag = subwords(w)
+        n_sub.append(len(bag))
+        grams.extend(bag)
+    n_words, n_texts = len(ids), len(texts)
+    del ids
+    stream, length = np.frombuffer(stream, dtype=np.int32).astype(np.intp), np.frombuffer(per_text, dtype=np.int32)
+    n_sub, grams = np.frombuffer(n_sub, dtype=np.int32), np.frombuffer(grams, dtype=np.int32)
     y = np.array(labels, dtype=np.float64)
-    doc_of = np.repeat(np.arange(len(texts)), np.diff(first_window))
-    bags = [subwords(w) for w in ids]
-    n_sub = np.array([len(b) for b in bags])
-    flat = np.fromiter((g for b in bags for g in b), dtype=np.int64, count=int(n_sub.sum()))
-    used, dense = np.unique(flat, return_inverse=True)
-    owner = np.repeat(np.arange(len(bags)), n_sub)
-    per_word = 1.0 / np.maximum(n_sub, 1)
-    per_window = 1.0 / np.bincount(window_of, minlength=first_window[-1])
+    text_of = np.repeat(np.arange(n_texts), length)
+    in_text = np.arange(len(stream)) - np.repeat(np.cumsum(length) - length, length)
+    windows = -(-length // WINDOW)
+    window_of = in_text // WINDOW + np.repeat(np.cumsum(windows) - windows, length)
+    doc_of, n_windows = np.repeat(np.arange(n_texts), windows), int(windows.sum())
+    del in_text
+    per_word, per_window = 1.0 / np.maximum(n_sub, 1), 1.0 / np.bincount(window_of, minlength=n_windows)
     # first guess: in how many texts of either class a table row is seen, as shrunk log odds
-    begin = np.concatenate([[0], np.cumsum(n_sub)])
-    seen = np.zeros((2, len(used)))
-    text_of = doc_of[window_of]
-    cuts = np.searchsorted(text_of, np.arange(len(texts) + 1))
-    for i in range(len(texts)):
+    begin, seen = np.concatenate([[0], np.cumsum(n_sub)]), np.zeros((2, BUCKETS))
+    cuts = np.concatenate([[0], np.cumsum(length)])
+    for i in range(n_texts):
         words = np.unique(stream[cuts[i] : cuts[i + 1]])
         if len(words):
-            seen[int(y[i]), np.unique(np.concatenate([dense[begin[w] : begin[w + 1]] for w in words]))] += 1
+            seen[int(y[i]), np.unique(np.concatenate([grams[begin[w] : begin[w + 1]] for w in words]))] += 1
     total = seen.sum(axis=0)
     share = [(seen[c] + 1.0) / (np.sum(y == c) + 2.0) for c in (0, 1)]
-    odds = np.clip(np.log(share[1] / share[0]), -3, 6) * total / (total + SHRINK)
+    common = total >= RARE
     rng = np.random.default_rng(SEED)
-    table = rng.normal(0, 0.05, (len(used), DIM)) * (total >= RARE)[:, None]
-    table[:, 0] += odds
+    table = rng.normal(0, 0.05, (DIM, BUCKETS)) * common
+    table[0] += np.clip(np.log(share[1] / share[0]), -3, 6) * total / (total + SHRINK)
     soft = rng.normal(0, 0.1, (DIM, 2))
     soft[0] = [-4.0, 4.0]
     bias = np.array([3.0, -3.0])
-    common = (total >= RARE)[:, None]
-    keep = common[dense, 0]
-    owner, dense = owner[keep], dense[keep]
+    owner = np.repeat(np.arange(n_words, dtype=np.int32), n_sub)
+    keep = common[grams]
+    owner, grams = owner[keep], grams[keep].astype(np.intp)
+    del keep
+    balance = np.where(y > 0, 0.5 / max(1.0, y.sum()), 0.5 / max(1.0, n_texts - y.sum())) * n_texts
     params = [table, soft, bias]
     m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-    balance = np.where(y > 0, 0.5 / max(1.0, y.sum()), 0.5 / max(1.0, len(y) - y.sum())) * len(y)
-
-    def pool(at: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-        return np.stack([np.bincount(at, weights=values[:, k], minlength=n) for k in range(DIM)], axis=1)
-
     for step in range(1, EPOCHS + 1):
-        word_vec = pool(owner, table[dense], len(bags)) * per_word[:, None]
-        bag = pool(window_of, word_vec[stream], len(per_window)) * per_window[:, None]
         diff = soft[:, 1] - soft[:, 0]
-        logit = bag @ diff + bias[1] - bias[0]
+        bag = [np.bincount(window_of, weights=(np.bincount(owner, weights=table[k][grams], minlength=n_words) * per_word)[stream], minlength=n_windows) * per_window for k in range(DIM)]
+        logit = sum(d * x for d, x in zip(diff, bag, strict=True)) + bias[1] - bias[0]
         clean = -np.logaddexp(0.0, logit)  # log of the softmax's class 0
-        q = np.minimum(np.bincount(doc_of, weights=clean, minlength=len(y)), -1e-9)
-        grad_q = np.where(y > 0, np.exp(q) / -np.expm1(q), -1.0) * balance / len(y)
+        q = np.minimum(np.bincount(doc_of, weights=clean, minlength=n_texts), -1e-9)
+        grad_q = np.where(y > 0, np.exp(q) / -np.expm1(q), -1.0) * balance / n_texts
         grad = grad_q[doc_of] * -np.exp(logit + clean)
-        g_soft = bag.T @ grad
-        g_word = pool(stream, ((grad * per_window)[:, None] * diff)[window_of], len(bags)) * per_word[:, None]
-        g_table = pool(dense, g_word[owner], len(used)) * common
-        grads = [g_table, np.stack([-g_soft, g_soft], axis=1), np.array([-grad.sum(), grad.sum()])]
+        to_word = np.bincount(stream, weights=(grad * per_window)[window_of], minlength=n_words) * per_word
+        to_table = np.bincount(grams, weights=to_word[owner], minlength=BUCKETS)
+        g_soft = np.array([x @ grad for x in bag])
+        grads = [diff[:, None] * to_table[None, :], np.stack([-g_soft, g_soft], axis=1), np.array([-grad.sum(), grad.sum()])]
         for p, g, mi, vi in zip(params, grads, m, v, strict=True):
             mi += 0.1 * (g - mi)
             vi += 0.01 * (g * g - vi)
             # half-way between one scale for all and one for each: rows that matter little move little
             scale = np.sqrt(np.sqrt(vi * vi.max()) / (1 - 0.99**step))
             p -= RATE * (mi / (1 - 0.9**step)) / (scale + 1e-12)
-        if _trace:
-            loss = np.mean(np.where(y > 0, -np.log(-np.expm1(q)), -q) * balance)
-            print(step, round(float(loss), 4), bias, soft[0])
     rows = np.zeros(BUCKETS, dtype=np.float32)
-    rows[used] = (table * common) @ (soft[:, 1] - soft[:, 0])
+    rows[:] = (soft[:, 1] - soft[:, 0]) @ (table * common)
     return Model(rows, float(bias[1] - bias[0]))
 
 
@@ -186,10 +184,20 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, longest: int
     # twice the sample, as some texts are too long; both takes are bounded, so the broadcast is
     picked = [marked.filter(F.col("toxic") == c).orderBy(order, "doc_id").limit(2 * sample) for c in (0, 1)]
     both = texts.join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id").dropDuplicates(["doc_id"])
-    rows = []
-    for c in (0, 1):
-        rows += both.filter(F.col("toxic") == c).orderBy(order, "doc_id").limit(sample).collect()
-    return fit([r["text"] for r in rows], [r["toxic"] for r in rows])
+    both = materialize(both)
+    chosen = [both.filter(F.col("toxic") == c).orderBy(order, "doc_id").limit(sample) for c in (0, 1)]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((r for b in batches for r in b.to_pylist()), key=lambda r: r["doc_id"])
+        if rows:
+            model = fit([r["text"] for r in rows], [r["toxic"] for r in rows])
+            yield pa.RecordBatch.from_arrays([pa.array([model.rows.tobytes()]), pa.array([model.bias])], names=["rows", "bias"])
+
+    # one task, as the sample is bounded by the parameters; the model that comes back has BUCKETS floats
+    fitted = chosen[0].unionByName(chosen[1]).select("doc_id", "text", "toxic").coalesce(1).mapInArrow(run, "rows binary, bias double").collect()
+    if not fitted:
+        return fit([], [])
+    return Model(np.frombuffer(bytes(fitted[0]["rows"]), dtype=np.float32), fitted[0]["bias"])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

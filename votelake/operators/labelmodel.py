@@ -136,7 +136,7 @@ def _weighted(rows: DataFrame, label: str, n_classes: int, balanced: bool) -> tu
     return rows.withColumn("weight", F.element_at(table, F.col(label).cast("int"))), float(n), sorted(int(c) for c in sizes)
 
 
-def fit_logistic(rows: DataFrame, n_classes: int, c: float = 1.0, l1: float = 0.0, label: str = "gold", balanced: bool = True, iterations: int = 100):  # noqa: ANN201
+def fit_logistic(rows: DataFrame, n_classes: int, c: float = 1.0, l1: float = 0.0, label: str = "gold", balanced: bool = True, iterations: int = 50):  # noqa: ANN201
     """Multinomial regression; regParam 1/(c * sum of weights) turns a summed loss into Spark's mean."""
     weighted, total, present = _weighted(rows, label, n_classes, balanced)
     lr = LogisticRegression(family="multinomial" if n_classes > 2 else "auto", labelCol=label, featuresCol="features", weightCol="weight", standardization=False, elasticNetParam=l1, regParam=1.0 / (c * max(total, 1.0)), maxIter=iterations)
@@ -230,11 +230,11 @@ def average(parts: list[DataFrame]) -> DataFrame:
     return long.groupBy("id", "split").agg(F.array_sort(F.collect_list(F.struct("class", "p"))).alias("x")).select("id", "split", F.transform("x", lambda v: v["p"]).alias("proba"))
 
 
-def ensemble(rows: DataFrame, n_classes: int, rounds: int = 20, seed: int = 42) -> DataFrame:
+def ensemble(rows: DataFrame, n_classes: int, rounds: int = 20, grid: tuple[float, ...] = (0.01, 0.1, 1.0, 10.0), folds: int = 5, seed: int = 42) -> DataFrame:
     """Mean of a cross-validated regression, boosted trees and an L1 regression."""
     val = rows.filter("split = 'val' and gold is not null")
     l1 = predict(fit_logistic(val, n_classes, 0.1, l1=1.0), rows, n_classes)
-    return average([text_vote_regression(rows, n_classes, seed=seed), boosted(rows, n_classes, rounds, seed=seed), l1])
+    return average([text_vote_regression(rows, n_classes, grid, folds, seed), boosted(rows, n_classes, rounds, seed=seed), l1])
 
 
 def stacking(rows: DataFrame, n_classes: int, folds: int = 3, rounds: int = 10, seed: int = 42) -> DataFrame:

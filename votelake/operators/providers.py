@@ -21,8 +21,9 @@ class CandidateProvider(Protocol):
 class KeywordMiner:
     """Stand-in for a language model: rules of a class's distinctive words, a bank of words each.
 
-    Learns from ``seed`` rows with gold (split train) and proposes at most
-    ``n`` rules; round ``tag`` moves on to later words of the ranking.
+    Learns from rows with gold (split train) and proposes at most ``n`` rules
+    for each target, or for every class where no target is given; a later call
+    moves on to later words of the ranking.
     """
 
     def __init__(self, bank: int = 4):
@@ -37,7 +38,7 @@ class KeywordMiner:
             words = [r["word"] for r in sorted(top, key=lambda r: r["rank"]) if r["group"] == c]
             for i in range(self.used, self.used + n):
                 bank = words[i * self.bank : (i + 1) * self.bank]
-                if bank and len(out) < n * max(1, len(targets)):
+                if bank:
                     out.append(keyword_rule(f"lf_{tag}_c{c}b{i}", c, bank))
         self.used += n
         return out

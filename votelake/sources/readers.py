@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from votelake.functions.text import strip
 from votelake.schema import EXAMPLE
 
 
@@ -88,7 +89,7 @@ def read_records(spark: SparkSession, path: str, value: str) -> DataFrame:
 
 def flatten_evidence(evidence: Column) -> Column:
     """Third elements of triples joined by a blank, trimmed."""
-    return F.trim(F.array_join(F.filter(F.transform(evidence, lambda e: F.get(e, F.lit(2))), lambda x: x.isNotNull()), " "))
+    return strip(F.array_join(F.filter(F.transform(evidence, lambda e: F.get(e, F.lit(2))), lambda x: x.isNotNull()), " "))
 
 
 def claim_text(claim: Column, evidence: Column, placeholder: str = "(none found)") -> Column:

@@ -2,13 +2,15 @@
 
 Pages are turned into lines (markup cut at block tags), grouped by host, and
 a line is dropped where the share of its host's pages that contain it is over
-``RATIO``.  A host needs ``LEAST_PAGES`` pages, as shares of fewer say little.
+``RATIO`` and they are at least ``LEAST_PAGES``, as shares of a few pages say
+little.  The ratio is low because a site has many templates, each on some of
+its pages, while a line of content stands on one.
 
 A page counts a line once, so counting is one map-side combined aggregation on
 (host, line hash), whatever a host's size.  Shares of a host's lines add up to
 its lines a page, so at most ``lines a page / RATIO`` lines can be over the
-ratio: what a host drops is a short list, and joins back by host with hot
-hosts kept apart (``attach_per_key``).
+ratio: what a host drops is a bounded list of 64-bit hashes, and joins back by
+host with hot hosts kept apart (``attach_per_key``).
 
 Edge cases: null html is an empty page; a null or unreadable url has host ''
 and such pages share it; empty lines count nowhere and are not returned; lines
@@ -23,8 +25,8 @@ from pyspark.sql import functions as F
 
 from votelake.llm.common import attach_per_key, materialize
 
-RATIO = 0.3
-LEAST_PAGES = 4
+RATIO = 0.01
+LEAST_PAGES = 5
 
 _HIDDEN = r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->"
 _BLOCK = r"(?i)</?(?:address|article|aside|body|br|dd|div|dl|dt|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul)\b[^>]*>"
@@ -52,7 +54,7 @@ def drop_boilerplate(pages: DataFrame, ratio: float = RATIO, least_pages: int =
     per_host = split.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
     line = split.select("host", F.explode(F.array_distinct(F.transform("lines", lambda x: F.xxhash64(x)))).alias("line"))
     counted = line.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n"))
-    often = counted.filter(F.col("n") >= 2).join(per_host.filter(F.col("pages") >= least_pages), "host")
+    often = counted.filter(F.col("n") >= least_pages).join(per_host, "host")
     often = often.filter(F.col("n") > F.col("pages") * F.lit(ratio)).groupBy("host").agg(F.array_sort(F.collect_set("line")).alias("drops"))
     hosts = materialize(per_host.join(often, "host", "left").select("host", "pages", F.coalesce("drops", F.array().cast("array<bigint>")).alias("drops")))
     met = attach_per_key(split, hosts, "host", "pages", F.col("page_id"))
@@ -81,7 +83,7 @@ c AS (SELECT page_id, host, replace(replace(replace(replace(replace(replace(t, '
 d AS (SELECT page_id, host, list_filter(list_transform(string_split(t, chr(10)), lambda x: regexp_replace(x, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g')), lambda x: x <> '') AS lines FROM c),
 h AS (SELECT host, count(*) AS pages FROM d GROUP BY host),
 n AS (SELECT host, line, count(*) AS n FROM (SELECT host, unnest(list_distinct(lines)) AS line FROM d) GROUP BY host, line),
-o AS (SELECT n.host, list(line) AS drops FROM n JOIN h USING (host) WHERE n >= 2 AND pages >= 4 AND n > pages * 0.3::DOUBLE GROUP BY n.host),
+o AS (SELECT n.host, list(line) AS drops FROM n JOIN h USING (host) WHERE n >= 5 AND n > pages * 0.01::DOUBLE GROUP BY n.host),
 e AS (SELECT d.page_id, d.host, d.lines, coalesce(o.drops, []) AS drops FROM d LEFT JOIN o USING (host))
 SELECT page_id, host, array_to_string(list_filter(lines, lambda x: NOT list_contains(drops, x)), chr(10)) AS text, cast(len(lines) AS BIGINT) AS n_lines,
   cast(len(list_filter(lines, lambda x: list_contains(drops, x))) AS BIGINT) AS n_dropped,

@@ -22,7 +22,6 @@ scores are 0; equal texts have equal scores; null doc_ids are scored.
 from __future__ import annotations
 
 import re
-import zlib
 from array import array
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -46,19 +45,46 @@ RARE = 4
 SHRINK = 4.0
 SEED = 7
 THRESHOLD = 0.7
-CACHE = 200_000
-
-_JUNK = re.compile(r"[\W_]+")
-
-
-def subwords(token: str) -> list[int]:
-    """Table rows of a token's word and n-grams; none for a token without letters or digits."""
-    word = _JUNK.sub("", token.lower())[:64]
-    if not word:
-        return []
-    full = f"<{word}>"
-    grams = [full, *(full[i : i + n] for n in range(GRAMS[0], GRAMS[1] + 1) for i in range(len(full) - n + 1))]
-    return [zlib.crc32(g.encode("utf-8", "replace")) & (BUCKETS - 1) for g in grams]
+CACHE = 300_000
+GROUP = 1_000_000
+
+_JUNK = re.compile(r"[^\w\n]+|_+")
+_LONGEST_WORD = 64
+_POWERS = np.cumprod(np.full(_LONGEST_WORD + 3, 0x9E3779B97F4A7C15, dtype=np.uint64))
+
+
+def _row(h: np.ndarray) -> np.ndarray:
+    """Mixes hashes and takes table rows."""
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return ((h ^ (h >> np.uint64(32))) & np.uint64(BUCKETS - 1)).astype(np.int64)
+
+
+def bags(tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Table rows of all tokens' words and n-grams, and the token of each; none for tokens without letters or digits.
+
+    All tokens are hashed together: their code points stand in one array and
+    an n-gram's hash is a weighted sum over n shifted views of it.
+    """
+    words = [w[:_LONGEST_WORD] for w in _JUNK.sub("", "\n".join(tokens).lower()).split("\n")]
+    text = "<" + ">\n<".join(words) + ">"
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    breaks = code == 10
+    owner = np.cumsum(breaks)
+    starts = np.concatenate([[0], np.flatnonzero(breaks) + 1])
+    within = np.arange(len(code)) - starts[owner]
+    whole = np.add.reduceat(np.where(breaks, np.uint64(0), code * _POWERS[np.maximum(within, 0)]), starts)
+    filled = np.flatnonzero(np.array([len(w) > 0 for w in words]))
+    rows, owners = [_row(whole[filled])], [filled]
+    for n in range(GRAMS[0], GRAMS[1] + 1):
+        if len(code) >= n:
+            h = sum((code[i : len(code) - n + 1 + i] * _POWERS[i] for i in range(n)), np.uint64(n))
+            ok = (owner[: len(code) - n + 1] == owner[n - 1 :]) & ~breaks[: len(code) - n + 1]
+            at = np.flatnonzero(ok)
+            rows.append(_row(h[at]))
+            owners.append(owner[at])
+    rows, owners = np.concatenate(rows), np.concatenate(owners)
+    some = np.isin(owners, filled) if len(filled) < len(words) else slice(None)
+    return rows[some], owners[some]
 
 
 @dataclass
@@ -79,15 +105,14 @@ def fit(texts: list[str], labels: list[int]) -> Model:
         before = len(stream)
         stream.extend(ids.setdefault(w, len(ids)) for w in text.split())
         per_text.append(len(stream) - before)
-    n_sub, grams = array("i"), array("i")
-    for w in ids:
-        bag = subwords(w)
-        n_sub.append(len(bag))
-        grams.extend(bag)
     n_words, n_texts = len(ids), len(texts)
+    grams, owner = bags(list(ids)) if ids else (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))
     del ids
+    n_sub = np.bincount(owner, minlength=n_words)
+    order = np.argsort(owner, kind="stable")
+    grams, owner = grams[order].astype(np.int32), owner[order].astype(np.int32)
+    del order
     stream, length = np.frombuffer(stream, dtype=np.int32).astype(np.intp), np.frombuffer(per_text, dtype=np.int32)
-    n_sub, grams = np.frombuffer(n_sub, dtype=np.int32), np.frombuffer(grams, dtype=np.int32)
     y = np.array(labels, dtype=np.float64)
     text_of = np.repeat(np.arange(n_texts), length)
     in_text = np.arange(len(stream)) - np.repeat(np.cumsum(length) - length, length)
@@ -112,7 +137,6 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     soft = rng.normal(0, 0.1, (DIM, 2))
     soft[0] = [-4.0, 4.0]
     bias = np.array([3.0, -3.0])
-    owner = np.repeat(np.arange(n_words, dtype=np.int32), n_sub)
     keep = common[grams]
     owner, grams = owner[keep], grams[keep].astype(np.intp)
     del keep
@@ -146,30 +170,45 @@ class Scorer:
     """Scores texts; a token's part of the logit is kept in a table of bounded size."""
 
     def __init__(self, model: Model):
-        self.rows, self.bias = model.rows.tolist(), model.bias
+        self.rows, self.bias = model.rows.astype(np.float64), model.bias
         self.known: dict[str, float] = {}
-        self.older: dict[str, float] = {}
-
-    def token(self, w: str) -> float:
-        if (x := self.older.get(w)) is None:
-            bag = subwords(w)
-            x = sum([self.rows[g] for g in bag]) / len(bag) if bag else 0.0
-        if len(self.known) >= CACHE:
-            self.older, self.known = self.known, {}
-        if len(w) <= 64:
-            self.known[w] = x
-        return x
 
-    def score(self, text: str) -> float:
-        words = text.split()
+    def learn(self, tokens: set[str]) -> None:
+        """Adds tokens to the table, all in one go; it starts anew when it is full."""
+        if len(self.known) + len(tokens) > CACHE:
+            self.known = {}
+        new = [t for t in tokens if t not in self.known]
+        if new:
+            rows, owner = bags(new)
+            mean = np.bincount(owner, weights=self.rows[rows], minlength=len(new)) / np.maximum(np.bincount(owner, minlength=len(new)), 1)
+            self.known.update(zip(new, mean.tolist(), strict=True))
+
+    def score_all(self, texts: list[str]) -> list[float]:
+        """Scores in order; texts are worked on in groups of about ``GROUP`` characters."""
+        out: list[float] = []
+        group: list[list[str]] = []
+        held = 0
+        for i, text in enumerate(texts):
+            group.append(text.split())
+            held += len(text)
+            if held >= GROUP or i + 1 == len(texts):
+                words = set().union(*group)
+                self.learn(words if len(self.known) + len(words) > CACHE else words - self.known.keys())
+                out += [self._score(w) for w in group]
+                group, held = [], 0
+        return out
+
+    def _score(self, words: list[str]) -> float:
         if not words:
             return 0.0
-        token, known = self.token, self.known
-        parts = np.array([x if (x := known.get(w)) is not None else token(w) for w in words])
+        parts = np.fromiter(map(self.known.__getitem__, words), dtype=np.float64, count=len(words))
         edges = np.arange(0, len(words), WINDOW)
         logit = np.add.reduceat(parts, edges) / np.diff(np.append(edges, len(words))) + self.bias
         return float(-np.expm1(-np.logaddexp(0.0, logit).sum()))
 
+    def score(self, text: str) -> float:
+        return self.score_all([text])[0]
+
 
 def is_held_out(doc_id: Column) -> Column:
     """The fold that is never learnt from; rows without doc_id belong to it, too."""
@@ -207,7 +246,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(held.value)
         for batch in batches:
-            x = [scorer.score(t or "") for t in batch.column(1).to_pylist()]
+            x = scorer.score_all([t or "" for t in batch.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.float64())], names=["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, score double")
@@ -222,7 +261,7 @@ def reject(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) ->
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(held.value)
         for batch in batches:
-            keep = [scorer.score(t or "") < threshold for t in batch.column(at).to_pylist()]
+            keep = [x < threshold for x in scorer.score_all([t or "" for t in batch.column(at).to_pylist()])]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

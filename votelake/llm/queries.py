@@ -19,6 +19,7 @@ QUERIES = {
 
 ORACLES = {
     "op1_exact_dedup": exact_dedup.ORACLE,
+    "op4_sharding": sharding.ORACLE,
     "op5_mixing": mixing.ORACLE,
     "op8_line_dedup": line_dedup.ORACLE,
 }

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from votelake.llm.common import bucket_count, materialize, running_total
+from votelake.llm.common import bucket_count, materialize, running_total, spread_hash
 
 SHARDS = 8
 
@@ -52,7 +52,7 @@ def assign(docs: DataFrame, weights: list[float], key: str = "doc_id", text: str
         F.array_min(F.slice("c", 1, len(weights)))["i"].alias("shard"),
         F.array_min("c")["i"].alias("grown_shard"),
     )
-    rows = rows.withColumn("h", F.shiftrightunsigned(F.xxhash64("doc_id", "text_crc32"), 33)).withColumn("one", F.lit(1).cast("long"))
+    rows = rows.withColumn("h", spread_hash(F.col("doc_id"), F.col("text_crc32"))).withColumn("one", F.lit(1).cast("long"))
     rows = materialize(rows)
     placed = running_total(rows, "shard", "h", ["doc_id", "text_crc32", "size"], "one", "slot", bucket_count(rows.count()))
     return placed.select("doc_id", "size", "text_crc32", "shard", "slot", "grown_shard")
@@ -66,3 +66,16 @@ def write_shards(docs: DataFrame, path: str, weights: list[float]) -> None:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = assign(spark.read.parquet(f"{sf_dir}/documents.parquet"), [1.0] * SHARDS)
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+#: With equal weights the least score is the largest hash; CRC-32 is a fold over bytes with a table made by its rule.
+ORACLE = r"""
+WITH c AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+b AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 1 AS size, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: cast('0x' || x AS BIGINT)) AS bytes FROM documents),
+d AS (SELECT doc_id, size, xor(list_reduce(list_prepend(4294967295, bytes), lambda c, x: xor(t[(xor(c, x) & 255) + 1], c >> 8)), 4294967295) AS text_crc32,
+        list_transform(range(9), lambda i: cast('0x' || substr(md5(coalesce(cast(doc_id AS VARCHAR), 'null') || ':' || cast(i AS VARCHAR)), 1, 13) AS BIGINT)) AS u FROM b, c),
+s AS (SELECT doc_id, size, text_crc32, list_position(u[1:8], list_max(u[1:8])) - 1 AS shard, list_position(u, list_max(u)) - 1 AS grown_shard,
+        cast('0x' || substr(md5(coalesce(cast(doc_id AS VARCHAR), '') || ':' || cast(text_crc32 AS VARCHAR)), 1, 8) AS BIGINT) >> 1 AS h FROM d)
+SELECT doc_id, cast(size AS BIGINT) AS size, cast(text_crc32 AS BIGINT) AS text_crc32, 'key' AS law, cast(shard AS INT) AS shard,
+  row_number() OVER (PARTITION BY shard ORDER BY h, doc_id, text_crc32, size) - 1 AS slot, cast(grown_shard AS INT) AS grown_shard FROM s
+"""

@@ -1,7 +1,7 @@
 """Toxicity by subword-bag embeddings averaged into a linear softmax.
 
 A word is the bag of itself and its character n-grams, each an embedding in a
-hashed table of fixed size; a window of a few words is the average of its
+hashed table of fixed size; a window of ``WINDOW`` words is the average of its
 words' averages and goes into a linear softmax.  Tables and softmax are
 trained jointly in numpy, by whole-batch Adam.  A document is toxic if any
 window is (noisy-or over all windows of the whole text), so one insult in a
@@ -37,7 +37,8 @@ SAMPLE = 1500
 LONGEST = 20_000
 BUCKETS = 1 << 18
 DIM = 2
-WINDOW = 8
+#: Words a window. Chosen from 1 to 8 within the rows that may be learnt from (one fold of them against the other): insults are single words, and their neighbours only dilute them.
+WINDOW = 1
 GRAMS = (3, 5)
 EPOCHS = 40
 RATE = 0.2

@@ -185,6 +185,8 @@ def test_sharding(docs, rows, empty):
         slots.setdefault(r["shard"], []).append(r["slot"])
         assert r["grown_shard"] in (r["shard"], 8)
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    ordered = lambda r: (int(hashlib.md5(f"{'' if r['doc_id'] is None else r['doc_id']}:{r['text_crc32']}".encode()).hexdigest()[:8], 16) >> 1, r["slot"])
+    assert [(r["shard"], r["slot"]) for r in sorted(got, key=lambda r: (r["shard"], *ordered(r)))] == [(k, i) for k in sorted(slots) for i in range(len(slots[k]))]
     want = sorted((i is None, i or 0, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t, *_ in rows)
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["size"], r["text_crc32"]) for r in got) == want
     assert sharding.assign(empty, [1.0] * 8).count() == 0
@@ -367,6 +369,7 @@ def test_toxicity_held_out_accuracy(spark, toxic, docs, rows, empty):
     assert met.count() > 200 and wrong <= 0.03 * met.count()
     s = toxicity.Scorer(model)
     assert s.score("") == 0.0 and s.score("lando treve idiottt moron lando") > s.score("lando treve molin lando")  # an unseen spelling
+    assert s.score("lando treve molin sarta " * 20_000) < toxicity.THRESHOLD < s.score("lando treve molin sarta " * 20_000 + "idiot")
     scored = toxicity.score(docs, model).collect()
     assert len(scored) == len(rows) and all(0 <= r["score"] <= 1 for r in scored) and toxicity.score(empty, model).count() == 0
     kept = toxicity.reject(toxic.drop("toxic").withColumn("score", F.lit("clash")), labels)

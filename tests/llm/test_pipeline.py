@@ -58,3 +58,35 @@ def test_stages(spark, corpus, tmp_path):
     assert sorted((r["doc_id"], r["n_tokens"], r["decoded_sha256"]) for r in after.collect()) == want
     whole = sorted(map(tuple, corpus_pipeline.run(spark, corpus).collect()))
     assert whole == sorted(map(tuple, after.collect()))
+
+
+CLASHES = ["score", "digest", "keep_id", "kept", "group_size", "fp", "component_id", "rows", "size", "taken", "position", "weight", "ids", "n_tokens", "b", "h", "n", "toxic"]
+
+
+def test_stages_with_nulls_repeats_and_clashing_columns(spark, corpus, tmp_path):
+    """A null in every column, rows delivered twice, a very long text, and columns named as operators name theirs."""
+    words = " ".join(f"w{i % 977}" for i in range(40_000))
+    rows = [(5000 + i, f"plain text number {i} about {i * i} things", "en", None if i == 3 else "s" + str(i % 2), 1) for i in range(12)]
+    rows += [rows[4], rows[4], (5020, words, "en", "s0", 1), (5021, words + " more", None, "s0", None), (5022, None, None, None, None), (None, "without a key", "en", "s1", 1), (None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").withColumns({c: F.lit("clash") for c in CLASHES})
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    docs, columns, left = spark.read.parquet(f"{tmp_path}/documents.parquet"), [*COLUMNS, *CLASHES], {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, corpus)
+        out.write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        left[name] = docs.collect()
+        if name != "bpe":
+            assert docs.columns == columns and all(r[c] == "clash" for r in left[name] for c in CLASHES)
+    assert len(left["toxicity"]) == len(rows)  # none is labelled, so none is rejected
+    assert len(left["exact_dedup"]) == 12 + 2 + 1 + 1  # plain texts, long ones, one empty, the one without a key
+    kept = [r["doc_id"] for r in left["simhash_near_dedup"]]
+    assert 5020 in kept and 5021 not in kept and len(kept) == len(set(kept))
+    assert {r["doc_id"] for r in left["mixing"]} <= set(kept) and len(left["bpe"]) == len(left["mixing"]) > 0
+
+
+def test_stages_on_an_empty_table(spark, corpus):
+    docs = spark.read.parquet(f"{corpus}/documents.parquet").limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, corpus)
+        assert out.count() == 0 and (name == "bpe" or out.columns == COLUMNS)

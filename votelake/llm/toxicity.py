@@ -6,7 +6,8 @@ words' averages and goes into a linear softmax.  Tables and softmax are
 trained jointly in numpy, by whole-batch Adam.  A document is toxic if any
 window is (noisy-or over all windows of the whole text), so one insult in a
 long text is not averaged away.  As the softmax is linear, a trained model
-comes down to one number a table row, which is what scoring carries:
+comes down to one number a table row, which is what scoring carries (windows
+count there by what they exceed ``FLOOR``, so length alone raises no score):
 ``BUCKETS`` floats, whatever the corpus.
 
 Training uses at most ``SAMPLE`` labelled rows a class, those with the least
@@ -39,6 +40,8 @@ BUCKETS = 1 << 18
 DIM = 2
 #: Words a window. Chosen from 1 to 8 within the rows that may be learnt from (one fold of them against the other): insults are single words, and their neighbours only dilute them.
 WINDOW = 1
+#: A window at this chance or under counts for nothing, else the unseen words of a long clean text would add up to a toxic one.
+FLOOR = 0.01
 GRAMS = (3, 5)
 EPOCHS = 40
 RATE = 0.2
@@ -205,7 +208,8 @@ class Scorer:
         parts = np.fromiter(map(self.known.__getitem__, words), dtype=np.float64, count=len(words))
         edges = np.arange(0, len(words), WINDOW)
         logit = np.add.reduceat(parts, edges) / np.diff(np.append(edges, len(words))) + self.bias
-        return float(-np.expm1(-np.logaddexp(0.0, logit).sum()))
+        over = np.logaddexp(0.0, logit) + np.log1p(-FLOOR)
+        return float(-np.expm1(-np.maximum(over, 0.0).sum()))
 
     def score(self, text: str) -> float:
         return self.score_all([text])[0]

@@ -378,6 +378,24 @@ def test_toxicity_held_out_accuracy(spark, toxic, docs, rows, empty):
     assert sum(i % 3 == 0 for i in left) <= 20 and sum(i % 3 != 0 for i in left) >= 585
 
 
+def test_toxicity_reads_tokens_to_their_end(toxic):
+    rows = toxic.collect()
+    model = toxicity.fit([r["text"] for r in rows], [r["toxic"] for r in rows])
+    s = toxicity.Scorer(model)
+    for filler in ("lantre", "lan,", "tre_", "日本語"):
+        clean = filler * 100
+        for at in (0, 58, 62, 100, 399):
+            assert s.score(clean[:at] + "idiot" + clean[at:]) > s.score(clean)
+    for n in (64, 65, 124, 125, 1000):
+        word = "".join(chr(97 + i * i % 26) for i in range(n))
+        pieces = toxicity.tokens_of(f"a {word} b")[1:-1]
+        grams = {word[i : i + 9] for i in range(n - 8)}
+        assert max(map(len, pieces)) <= 64 and {p[i : i + 9] for p in pieces for i in range(len(p) - 8)} == grams
+    assert len(set(toxicity.bags(["x" * 100 + "idiot"])[0])) > len(set(toxicity.bags(["x" * 105])[0]))
+    short = "a.b " + "x," * 60
+    assert toxicity.tokens_of(short) == short.split()
+
+
 def test_toxicity_without_labels(spark, docs, rows):
     none = spark.createDataFrame([], "doc_id bigint, toxic int")
     assert toxicity.reject(docs, none).count() == len(rows)

@@ -12,7 +12,8 @@ count there by what they exceed ``FLOOR``, so length alone raises no score):
 
 Training uses at most ``SAMPLE`` labelled rows a class, those with the least
 MD5 of doc_id among texts of at most ``LONGEST`` characters; scoring has no
-such bound.
+such bound.  A token of over 64 letters and digits (text without spaces, URLs)
+is taken as overlapping pieces, each a word of its own.
 
 Edge cases: null and empty texts have no window and score 0; rows whose label
 is null or neither 0 nor 1 are not learnt from, and repeated labels of a
@@ -54,9 +55,26 @@ GROUP = 1_000_000
 
 _JUNK = re.compile(r"[^\w\n]+|_+")
 _LONGEST_WORD = 64
+#: Pieces of a longer token and what neighbours share: up to 9 characters in a row are whole in one piece. Short, as a word's n-grams are averaged: in pieces of 64 an insult sinks under ``FLOOR``.
+_PIECE, _SHARED = 12, 8
 _POWERS = np.cumprod(np.full(_LONGEST_WORD + 3, 0x9E3779B97F4A7C15, dtype=np.uint64))
 
 
+def tokens_of(text: str) -> list[str]:
+    """The words of a text; one of more than ``_LONGEST_WORD`` letters and digits comes as overlapping pieces, each a word of its own."""
+    words = text.split()
+    if max(map(len, words), default=0) <= _LONGEST_WORD:
+        return words
+    out: list[str] = []
+    for w in words:
+        bare = _JUNK.sub("", w.lower()) if len(w) > _LONGEST_WORD else ""
+        if len(bare) > _LONGEST_WORD:
+            out += [bare[i : i + _PIECE] for i in range(0, len(bare) - _SHARED, _PIECE - _SHARED)]
+        else:
+            out.append(w)
+    return out
+
+
 def _row(h: np.ndarray) -> np.ndarray:
     """Mixes hashes and takes table rows."""
     h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -69,14 +87,14 @@ def bags(tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
     All tokens are hashed together: their code points stand in one array and
     an n-gram's hash is a weighted sum over n shifted views of it.
     """
-    words = [w[:_LONGEST_WORD] for w in _JUNK.sub("", "\n".join(tokens).lower()).split("\n")]
+    words = _JUNK.sub("", "\n".join(tokens).lower()).split("\n")
     text = "<" + ">\n<".join(words) + ">"
     code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
     breaks = code == 10
     owner = np.cumsum(breaks)
     starts = np.concatenate([[0], np.flatnonzero(breaks) + 1])
     within = np.arange(len(code)) - starts[owner]
-    whole = np.add.reduceat(np.where(breaks, np.uint64(0), code * _POWERS[np.maximum(within, 0)]), starts)
+    whole = np.add.reduceat(np.where(breaks, np.uint64(0), code * _POWERS[np.maximum(within, 0) % len(_POWERS)]), starts)
     filled = np.flatnonzero(np.array([len(w) > 0 for w in words]))
     rows, owners = [_row(whole[filled])], [filled]
     for n in range(GRAMS[0], GRAMS[1] + 1):
@@ -107,7 +125,7 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     stream, per_text = array("i"), array("i")
     for text in texts:
         before = len(stream)
-        stream.extend(ids.setdefault(w, len(ids)) for w in text.split())
+        stream.extend(ids.setdefault(w, len(ids)) for w in tokens_of(text))
         per_text.append(len(stream) - before)
     n_words, n_texts = len(ids), len(texts)
     grams, owner = bags(list(ids)) if ids else (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))
@@ -193,7 +211,7 @@ class Scorer:
         group: list[list[str]] = []
         held = 0
         for i, text in enumerate(texts):
-            group.append(text.split())
+            group.append(tokens_of(text))
             held += len(text)
             if held >= GROUP or i + 1 == len(texts):
                 words = set().union(*group)

@@ -171,6 +171,16 @@ def test_pii_chooses_by_context(spark):
     assert {r["doc_id"]: r["s"] for r in found.collect()} == {i: s for i, (_, s) in enumerate(cases)}
 
 
+def test_pii_proposes_every_separator(spark):
+    """Each way of writing at and dot, in texts that hold no other address."""
+    ats = ["@", " @ ", " at ", "[at]", " [at] ", "(at)", " ( at ) ", "{at}", " AT "]
+    dots = [".", " . ", " dot ", "[dot]", " [dot] ", "(dot)", "{ dot }"]
+    texts = [f"jo.lee{a}example{d}com" for a in ats for d in dots] + ["look at this. then", "at . dot", "that example.com"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r["doc_id"]: r["value"] for r in pii.proposals(df, ("mail",), ["doc_id"]).filter("kind = 'mail'").collect()}
+    assert got == {**{i: t for i, t in enumerate(texts[:-3])}, len(texts) - 3: "look at this. then"}
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([("ab 1.2.3.4 c🙂 x@y.zz",)], "text string").withColumn("doc_id", F.lit(1))
     met = pii.find(df).join(df, "doc_id")

@@ -49,13 +49,14 @@ PATTERNS = {
     "mail": rf"(?i)(?:\G|(?<![{_LOCAL}]))[{_LOCAL}]++(?:\x20?@\x20?|\x20?[\[({{]\x20?at\x20?[\])}}]\x20?|\x20at\x20)[a-z0-9-]++(?:(?:\x20?\.\x20?|\x20?[\[({{]\x20?dot\x20?[\])}}]\x20?|\x20dot\x20)[a-z0-9-]++)++",
     "number": r"(?:\G|(?<![0-9A-Za-z]))\(?[0-9](?:[\x20().\x2F-]{0,2}[0-9]){6,18}+(?![0-9A-Za-z])",
 }
-#: Texts without these hold no match, which a plain scan tells sooner.
+_AT, _DOT = r"\x20?[\[({]\x20?at\x20?[\])}]\x20?|\x20at\x20", r"\x20?\.\x20?|\x20?[\[({]\x20?dot\x20?[\])}]\x20?|\x20dot\x20"
+#: Texts without these hold no match, which a plain scan tells sooner. That of ``mail`` is a part of each of its matches.
 NEEDS = {
     "email": lambda t: t.contains("@"),
     "ip": lambda t: t.rlike("[0-9]"),
     "card": lambda t: t.rlike("[0-9]"),
     "phone": lambda t: t.contains("+"),
-    "mail": lambda t: t.contains("@") | t.rlike("(?i)[\\[({\\x20]dot[\\])}\\x20]"),
+    "mail": lambda t: t.contains("@") | t.rlike(rf"(?i)(?:{_AT})[a-z0-9-]++(?:{_DOT})[a-z0-9-]"),
     "number": lambda t: t.rlike("[0-9]"),
 }
 

@@ -317,6 +317,55 @@ def test_licenses(spark):
     assert licenses.scan_licenses(df.limit(0)).count() == 0
 
 
+MIT_FILE = """MIT License
+
+Copyright (c) 2019 Jo Lee and others
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+BSD_ABRIDGED = """Redistribution and use in source and binary forms, with or without modification,
+are permitted provided that the following conditions are met: redistributions of source code must retain the above
+copyright notice; neither the name of the copyright holder nor the names of its contributors may be used to endorse
+products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE
+COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED."""
+APACHE_NOTICE = """Copyright 2021 Some Body
+Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance
+with the License. You may obtain a copy of the License at https://www.apache.org/licenses/LICENSE-2.0
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed
+on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for
+the specific language governing permissions and limitations under the License."""
+
+
+def test_whole_licences_license_their_directories(spark):
+    from importlib.resources import files as held
+
+    text = lambda n: "Copyright 2020 Some Body\n\n" + (held("votelake.llm") / "license_texts" / f"{n}.txt").read_text(encoding="utf-8")
+    names = ["Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-3.0", "MPL-2.0", "CC0-1.0"]
+    whole = {"mit": ("MIT", MIT_FILE), "bsd": ("BSD-3-Clause", BSD_ABRIDGED), "notice": ("Apache-2.0", APACHE_NOTICE), **{n: (n, text(n)) for n in names}}
+    rows = [(i, f"{d}/{f}", t) for i, (d, (_, body)) in enumerate(whole.items()) for f, t in (("LICENSE", body), ("src/x.py", "def f(): return 1"))]
+    rows += [(99, "talk/a.txt", "a talk on the terms of the license, and on software"), (99, "talk/src/x.py", "y = 2")]
+    got = {r["path"]: (r["license"], r["origin"]) for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id bigint, path string, text string")).collect()}
+    for d, (name, _) in whole.items():
+        assert (got[f"{d}/LICENSE"], got[f"{d}/src/x.py"]) == ((name, "own"), (name, "inherited"))
+    assert got["talk/a.txt"] == got["talk/src/x.py"] == (None, "none")
+
+
 def test_license_cosine_by_hand():
     m = licenses.Matcher({"": 10, "the": 9})
     for i, (_, text) in enumerate(licenses.TEMPLATES):

@@ -2,7 +2,9 @@
 
 Every line of every text is a possible header and every text a possible
 licence file; both are sparse TF-IDF vectors compared with the templates by
-cosine.  Weights of template terms come from document counts over the whole
+cosine.  Whole texts are also compared with whole licences and notice blocks
+(``license_bodies``), there with logarithms of counts, as frequent words of
+long texts would outweigh the rest.  Weights of template terms come from document counts over the whole
 corpus; any other term has the weight of one never seen.  A file whose whole
 text reaches ``FILE_COSINE`` licenses its directory; of several in one
 directory the highest cosine counts, then the least path.  A file without a
@@ -11,7 +13,7 @@ licence of its own takes that of the nearest directory above it: directories
 directories kept apart.
 
 The templates and their vocabulary are fixed, so what executors are sent is
-bounded: a weight for each template term.
+bounded: a count for each term of them.
 
 Edge cases: null text is empty and has no licence; a null path is the root
 directory's; ties take the earlier template and the first line; repeated rows
@@ -26,11 +28,13 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from votelake.llm.common import attach_per_key, materialize
+from votelake.llm.license_bodies import bodies
 
 LINE_COSINE = 0.6
 FILE_COSINE = 0.6
@@ -68,10 +72,12 @@ def terms(text: str) -> list[str]:
 
 
 VOCABULARY = frozenset(t for _, text in TEMPLATES for t in terms(text))
+BODIES = tuple((name, Counter(terms(text))) for name, text in bodies())
+COUNTED = VOCABULARY.union(*[tf for _, tf in BODIES])
 
 
 def term_counts(files: DataFrame) -> DataFrame:
-    """term and the number of files that contain it, for template terms; '' counts all files."""
+    """term and the number of files that contain it, for terms of templates and bodies; '' counts all files."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[str] = Counter()
@@ -79,7 +85,7 @@ def term_counts(files: DataFrame) -> DataFrame:
             for text in batch.column(0).to_pylist():
                 seen[""] += 1
                 if text:
-                    seen.update(VOCABULARY.intersection(terms(text)))
+                    seen.update(COUNTED.intersection(terms(text)))
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["term", "n"])
 
     return files.select("text").mapInArrow(run, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
@@ -92,6 +98,7 @@ class Matcher:
         files = counts.get("", 0)
         self.unseen = math.log(files + 1) + 1
         self.idf = {t: math.log((files + 1) / (counts.get(t, 0) + 1)) + 1 for t in VOCABULARY}
+        self.bodies = BodyMatcher(counts)
         self.by_term: dict[str, list[tuple[int, float]]] = defaultdict(list)
         for i, (_, text) in enumerate(TEMPLATES):
             tf = Counter(terms(text))
@@ -130,7 +137,46 @@ class Matcher:
                 found, score, at = t, c, i
         c, t = self.best(everything, FILE_COSINE)
         name = lambda k: TEMPLATES[k][0] if k >= 0 else None
-        return name(found), round(score, 9), at, name(t), round(c, 9)
+        file_license, b = name(t), self.bodies.best(everything, FILE_COSINE)
+        if b[0] > c + 1e-12:
+            c, file_license = b[0], BODIES[b[1]][0]
+        return name(found), round(score, 9), at, file_license, round(c, 9)
+
+
+class BodyMatcher:
+    """Cosines of whole texts with the bodies, by logarithms of counts."""
+
+    def __init__(self, counts: dict[str, int]):
+        n = counts.get("", 0)
+        self.unseen = math.log(n + 1) + 1
+        self.place = {t: i for i, t in enumerate(sorted(COUNTED))}
+        self.idf = np.array([math.log((n + 1) / (counts.get(t, 0) + 1)) + 1 for t in self.place])
+        self.table = np.zeros((len(self.place), len(BODIES)))
+        for k, (_, tf) in enumerate(BODIES):
+            at = [self.place[t] for t in tf]
+            self.table[at, k] = (1 + np.log(list(tf.values()))) * self.idf[at]
+        self.table /= np.linalg.norm(self.table, axis=0)
+
+    def best(self, tokens: list[str], least: float) -> tuple[float, int]:
+        """The highest cosine and its body's number; (0, -1) if it is under ``least``."""
+        tf = Counter(tokens)
+        at, n = [], []
+        for t in self.place.keys() & tf.keys():
+            at.append(self.place[t])
+            n.append(tf.pop(t))
+        if not at:
+            return 0.0, -1
+        order = np.argsort(at)
+        at, n = np.array(at)[order], np.array(n)[order]
+        w = (1 + np.log(n)) * self.idf[at]
+        known = float(w @ w)
+        rest = float(((1 + np.log(np.fromiter(tf.values(), dtype=np.float64, count=len(tf)))) ** 2).sum()) * self.unseen**2
+        if known < least * least * (known + rest):  # no body can reach it
+            return 0.0, -1
+        score = w @ self.table[at]
+        top = int(score.argmax())
+        cosine = min(1.0, float(score[top]) / math.sqrt(known + rest))
+        return (cosine, top) if cosine >= least else (0.0, -1)
 
 
 SCANNED = "doc_id bigint, path string, license string, score double, line int, file_license string, file_score double"
@@ -174,7 +220,7 @@ def inherit(scanned: DataFrame) -> DataFrame:
     nearest = up.join(licensed, "above").groupBy("folder").agg(F.min(F.struct("depth", "folder_license", "above", "license_file")).alias("b"))
     known = materialize(folders.join(nearest, "folder", "left").select("folder", "files", F.col("b.folder_license").alias("folder_license"), F.col("b.above").alias("license_folder"), F.col("b.license_file").alias("license_file")))
     met = attach_per_key(placed, known, "folder", "files", F.col("doc_id"))
-    own = F.coalesce("license", "file_license")
+    own = F.coalesce("file_license", "license")  # lines of a whole licence may name another, as the LGPL's do the GPL
     return met.select(
         "doc_id",
         "path",

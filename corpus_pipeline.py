@@ -7,8 +7,9 @@ return the columns of documents.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from votelake.llm import bpe, common, exact_dedup, mixing, simhash, toxicity
+from votelake.llm import bpe, common, exact_dedup, mixing, simhash, similar, toxicity
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,8 +23,10 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate component stays."""
-    return simhash.keep_one(docs)
+    """One document of each SimHash component stays; of these no two have 0.8 of their five-word shingles in common."""
+    ids = common.materialize(simhash.kept_ids(docs))
+    ids = common.materialize(similar.kept_ids(docs, ids))
+    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("__vl_id")), "left_semi")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

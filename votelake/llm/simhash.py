@@ -165,15 +165,19 @@ def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return attach_per_key(rows, keyed, "fp", "rows", F.col("doc_id")).select("doc_id", F.col("fp").cast("long").alias("fp"), "component_id")
 
 
+def kept_ids(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """The least doc_id of each component, as ``__vl_id``."""
+    found = near_duplicates(docs, words)
+    return found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__vl_id")).distinct()
+
+
 def keep_one(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """One row of each component, that with the least doc_id, with all its columns.
 
     Rows without a doc_id stay only where their component has no other; rows
     that share the least doc_id all stay, as they are one document to the caller.
     """
-    found = near_duplicates(docs, words)
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__vl_id")).distinct()
-    return docs.join(materialize(kept), F.col("doc_id").eqNullSafe(F.col("__vl_id")), "left_semi")
+    return docs.join(materialize(kept_ids(docs, words)), F.col("doc_id").eqNullSafe(F.col("__vl_id")), "left_semi")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

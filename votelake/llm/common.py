@@ -16,6 +16,8 @@ SPACE = r"\x20\x09-\x0D"
 HOT_SHARE = 0.001
 #: Keys with fewer rows than this are never hot.
 HOT_ROWS = 500
+#: Folders of materialised tables, oldest first.
+_written: list[str] = []
 
 
 def work_folder(spark: SparkSession) -> str:
@@ -48,9 +50,50 @@ def materialize(df: DataFrame, folder: str | None = None) -> DataFrame:
     """
     path = folder or work_folder(df.sparkSession)
     df.write.mode("overwrite").parquet(path)
+    if not folder:
+        _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Where rows of a table are numbered; names that begin with ``__vl_`` are reserved in all inputs of this sub-package.
+ROW = "__vl_row"
+#: Row numbers that are broadcast at most, about 16 bytes each; with more, both sides are shuffled by the number, which has no hot value.
+MOST_NUMBERS = 2_000_000
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """The rows with a number each in ``ROW``, written once, so that every later pass agrees on it."""
+    return materialize(rows.withColumn(ROW, F.monotonically_increasing_id()))
+
+
+def by_number(rows: DataFrame, numbers: DataFrame, how: str) -> DataFrame:
+    """Semi- or anti-join of ``numbered`` rows with the ``ROW`` column of ``numbers``."""
+    listed = materialize(numbers.select(F.col(ROW).alias("__vl_listed")))
+    if listed.count() <= MOST_NUMBERS:
+        listed = F.broadcast(listed)
+    return rows.join(listed, F.col(ROW) == F.col("__vl_listed"), how)
+
+
+def without_rows(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """The ``numbered`` rows whose number is not in ``gone``, in their own columns."""
+    return by_number(rows, gone, "left_anti").drop(ROW)
+
+
+def mark() -> int:
+    """A point in time for ``discard``."""
+    return len(_written)
+
+
+def discard(spark: SparkSession, since: int, *but: DataFrame) -> None:
+    """Delete the tables materialised after ``since`` that none of ``but`` reads."""
+    used = {f.rsplit("/", 2)[-2] for df in but for f in df.inputFiles()}
+    for path in _written[since:]:
+        if path.rsplit("/", 1)[-1] not in used:
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    _written[since:] = [p for p in _written[since:] if p.rsplit("/", 1)[-1] in used]
+
+
 def attach_per_key(rows: DataFrame, per_key: DataFrame, key: str, count: str, spread: Column) -> DataFrame:
     """Inner-join ``rows`` to ``per_key`` (one row a key, ``count`` rows of ``rows`` each).
 

@@ -2,12 +2,15 @@
 
 Fingerprints of 64 bits are eight positional bytes.  Two that differ in at
 most ``BITS`` = 4 bits differ in at most four bytes, so they share at least
-four positional bytes: the guaranteed minimum of the count filter.  Posting
-lists of single bytes would hold 1/256 of all rows each, and tallying pairs in
-them grows with the square of the corpus.  So the tally is kept by the index
-itself: its keys are the 70 ways to take four positions, with the four bytes
-found there.  A pair meets under a key if, and only if, it reaches the minimum
-with these bytes, and only such pairs are formed and verified.
+``SHARED`` = 4 positional bytes: the guaranteed minimum of the count filter.
+Posting lists of single bytes would hold 1/256 of all rows each, and tallying
+pairs in them grows with the square of the corpus.  So a posting list stands
+for a few positions at once and the bytes found there.  Its positions are the
+20 triples such that any four positions hold one of them (``triples``): pairs
+that reach the minimum meet in a list, the shared bytes of all that meet are
+tallied, pairs under the minimum go, and the rest are verified bit by bit.
+From ``WIDE`` fingerprints on, lists are of four positions (all 70), as those
+of three would hold too many by chance; either way no link is lost.
 
 Only different fingerprints enter the index (copies share one row).  A posting
 list of over ``LIST_ROWS`` fingerprints is not paired out.  Its members are
@@ -16,16 +19,19 @@ most 4 bits exactly if some value differs in at most 2 bits from both, so each
 crowded one is sent to the 2081 values around it, and all that meet at a value
 are tied to the least of them.  Every link lies in a short list, whose pairs
 are verified, or in a long one, whose members are all crowded; so components
-come out whole, and work is linear in the size of a group.
+come out whole, and work is linear in the size of a group.  ``LIST_ROWS`` is
+where both ways cost the same: 20 lists of 200 give a member 2000 pairs.
 
 Components are found by alternating large and small stars, cut by
 ``checkpoint`` in the shared folder.
 
 Edge cases: a null text has no words and, as an empty one, fingerprint 0,
 linked like any other; a text with fewer words than a shingle is one shingle;
-repeated shingles count each time; rows with a null doc_id take part, and the
-component takes the least doc_id that is not null (null if none is); an empty
-table gives no rows.
+repeated shingles count each time; texts of any length are read whole, in
+blocks of ``BLOCK`` shingles; rows with a null doc_id take part, and the
+component takes the least doc_id that is not null (null if none is); repeated
+rows are rows of their own; other columns, whatever their names (but for
+``__vl_``), are not touched; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -39,13 +45,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from votelake.llm.common import attach_per_key, ensure_checkpoints, materialize
+from votelake.llm.common import ROW, attach_per_key, ensure_checkpoints, materialize, numbered, without_rows
 
 WORDS = 4
 SEED = 42
 BITS = 4
+#: Positional bytes that two linked fingerprints share at least.
+SHARED = 8 - BITS
 #: Longest posting list whose pairs are formed; beyond it, 2081 midpoints a member cost less.
-LIST_ROWS = 64
+LIST_ROWS = 200
+#: Fingerprints from which on posting lists are of four positions: a list of three then holds eight by chance.
+WIDE = 1 << 27
 #: Shingles hashed between two tallies, to bound memory on long texts.
 BLOCK = 16_384
 
@@ -78,31 +88,53 @@ def fingerprint_batches(words: int):
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
-                f = np.array([fingerprint_of(x or b"", words) for x in batch.column(1).to_pylist()], dtype=np.uint64)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(f.view(np.int64))], names=["doc_id", "fp"])
+                f = np.array([fingerprint_of(x or b"", words) for x in batch.column(2).to_pylist()], dtype=np.uint64)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(f.view(np.int64))], names=["doc_id", ROW, "fp"])
 
     return run
 
 
 def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id and fp, the fingerprint's bits as a signed long."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode(F.col("text"), "UTF-8").alias("data")).mapInArrow(
-        fingerprint_batches(words), "doc_id bigint, fp bigint"
+    """doc_id, a row number (that of ``numbered`` rows) and fp, the fingerprint's bits as a signed long."""
+    number = F.col(ROW) if ROW in docs.columns else F.monotonically_increasing_id().alias(ROW)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), number, F.encode(F.col("text"), "UTF-8").alias("data")).mapInArrow(
+        fingerprint_batches(words), f"doc_id bigint, {ROW} bigint, fp bigint"
     )
 
 
-def index_keys(fp: Column) -> Column:
-    """One key for each way to take four of the eight bytes: the way's number and the bytes."""
-    byte = [F.shiftrightunsigned(fp, 8 * i).bitwiseAND(F.lit(255).cast("long")) for i in range(8)]
+def triples(n: int = 8) -> list[tuple[int, ...]]:
+    """Triples of n positions such that any four positions hold one of them.
+
+    Positions stand in three groups; a triple has all its positions in one
+    group, or two in one and the third in the next.  Of four positions two
+    share a group, and wherever the others are, one such triple is among them.
+    """
+    group = [3 * i // n for i in range(n)]
+    inside = lambda t: {group[i] for i in t}
+    fits = lambda t: len(inside(t)) == 1 or any(sorted(group[i] for i in t) == sorted([g, g, (g + 1) % 3]) for g in range(3))
+    return [t for t in combinations(range(n), 3) if fits(t)]
+
+
+def byte_of(fp: Column, i: int) -> Column:
+    return F.shiftrightunsigned(fp, 8 * i).bitwiseAND(F.lit(255).cast("long"))
+
+
+def index_keys(fp: Column, ways: list[tuple[int, ...]]) -> Column:
+    """One key for each way to take positions: the way's number and the bytes."""
     keys = []
-    for way, places in enumerate(combinations(range(8), 8 - BITS)):
+    for way, places in enumerate(ways):
         packed = F.lit(way).cast("long")
         for p in places:
-            packed = F.shiftleft(packed, 8).bitwiseOR(byte[p])
+            packed = F.shiftleft(packed, 8).bitwiseOR(byte_of(fp, p))
         keys.append(packed)
     return F.array(*keys)
 
 
+def tally(a: Column, b: Column) -> Column:
+    """How many positional bytes two fingerprints share."""
+    return sum((F.when(byte_of(a.bitwiseXOR(b), i) == 0, 1).otherwise(0) for i in range(8)), F.lit(0))
+
+
 def around(fp: Column) -> Column:
     """All values that differ from fp in at most two bits."""
     flips = [0, *[1 << i for i in range(64)], *[(1 << i) | (1 << j) for i, j in combinations(range(64), 2)]]
@@ -115,14 +147,19 @@ def links(distinct: DataFrame) -> DataFrame:
 
     ``distinct`` has one column fp without repeats and should be materialised.
     """
-    posting = materialize(distinct.select("fp", F.explode(index_keys(F.col("fp"))).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
-    keyed = distinct.select("fp", F.explode(index_keys(F.col("fp"))).alias("key"))
-    shared = materialize(keyed.join(posting, "key"))
+    spark = distinct.sparkSession
+    ways = triples() if distinct.count() < WIDE else list(combinations(range(8), SHARED))
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    keyed = materialize(distinct.repartition(parts).select("fp", F.explode(index_keys(F.col("fp"), ways)).alias("key")))
+    # most lists hold one; of those that hold two the pair is known from the count
+    posting = materialize(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).filter("n > 1"))
+    twos = posting.filter("n = 2").select("a", "b")
+    shared = materialize(keyed.join(posting.filter("n > 2").select("key", "n"), "key"))
     short = shared.filter(F.col("n") <= LIST_ROWS).select("key", "fp")
     other = short.select("key", F.col("fp").alias("b"))
-    pairs = short.withColumnRenamed("fp", "a").join(other, "key").filter("a < b and bit_count(a ^ b) <= " + str(BITS)).select("a", "b").distinct()
-    crowded = shared.filter(F.col("n") > LIST_ROWS).select("fp").distinct()
-    crowded = materialize(crowded)
+    met = twos.unionByName(short.withColumnRenamed("fp", "a").join(other, "key").filter("a < b").select("a", "b"))
+    pairs = met.filter(tally(F.col("a"), F.col("b")) >= SHARED).filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= BITS).distinct()
+    crowded = materialize(shared.filter(F.col("n") > LIST_ROWS).select("fp").distinct())
     near = crowded.select("fp", F.explode(around(F.col("fp"))).alias("mid"))
     least = near.groupBy("mid").agg(F.min("fp").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("mid", "b")
     stars = near.join(least, "mid").filter("fp != b").select(F.col("fp").alias("a"), "b").distinct()
@@ -153,31 +190,32 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id, fp and component_id for every row."""
+    """doc_id, row number, fp, component_id and keep_row for every row.
+
+    ``keep_row`` is the number of the component's first row: that of the least
+    doc_id (null last), of several the least number.
+    """
     prints = materialize(fingerprints(docs, words))
-    counted = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("rows")))
+    first = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col(ROW).alias("r"))
+    counted = materialize(prints.groupBy("fp").agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("rows")))
     roots = components(links(counted.select("fp")))
-    rooted = counted.join(roots, counted["fp"] == roots["node"], "left").select("fp", "first_id", "rows", F.coalesce("root", "fp").alias("root"))
+    rooted = counted.join(roots, counted["fp"] == roots["node"], "left").select("fp", "first", "rows", F.coalesce("root", "fp").alias("root"))
     rooted = materialize(rooted)
-    ids = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    keyed = materialize(rooted.join(ids, "root").select(F.col("fp").cast("string").alias("fp"), "component_id", "rows"))
-    rows = prints.select("doc_id", F.col("fp").cast("string").alias("fp"))
-    return attach_per_key(rows, keyed, "fp", "rows", F.col("doc_id")).select("doc_id", F.col("fp").cast("long").alias("fp"), "component_id")
+    firsts = rooted.groupBy("root").agg(F.min("first").alias("b")).select("root", F.col("b.d").alias("component_id"), F.col("b.r").alias("keep_row"))
+    keyed = materialize(rooted.join(firsts, "root").select(F.col("fp").cast("string").alias("fp"), "component_id", "keep_row", "rows"))
+    rows = prints.select("doc_id", ROW, F.col("fp").cast("string").alias("fp"))
+    return attach_per_key(rows, keyed, "fp", "rows", F.col(ROW)).select("doc_id", ROW, F.col("fp").cast("long").alias("fp"), "component_id", "keep_row")
 
 
-def kept_ids(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """The least doc_id of each component, as ``__vl_id``."""
-    found = near_duplicates(docs, words)
-    return found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__vl_id")).distinct()
+def copies(rows: DataFrame, words: int = WORDS) -> DataFrame:
+    """Numbers of the ``numbered`` rows that are not the first of their component."""
+    return near_duplicates(rows, words).filter(F.col(ROW) != F.col("keep_row")).select(ROW)
 
 
 def keep_one(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """One row of each component, that with the least doc_id, with all its columns.
-
-    Rows without a doc_id stay only where their component has no other; rows
-    that share the least doc_id all stay, as they are one document to the caller.
-    """
-    return docs.join(materialize(kept_ids(docs, words)), F.col("doc_id").eqNullSafe(F.col("__vl_id")), "left_semi")
+    """One row of each component with all its columns: that of the least doc_id, rows without a doc_id last."""
+    rows = numbered(docs)
+    return without_rows(rows, copies(rows, words))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,29 +1,33 @@
 """Near-duplicates by the Jaccard similarity of word shingles, found exactly.
 
-A text is the set of its shingles of ``WORDS`` words (lower case, split at
-white space; a shorter text is one shingle), each a 64-bit hash.  Two sets of
-similarity ``LEAST`` or more share one of the first n - ceil(LEAST n) + 1
-hashes of either in any common order, so texts that share none of these
-prefixes are no pair, and all others are candidates, verified on whole sets.
-The order puts hashes that are frequent in a sample last, which keeps posting
-lists short and, as any order will do, loses nothing.
-
-Candidates are met in posting lists.  A list of over ``LIST_ROWS`` texts would
-give pairs with the square of its size, so its members are first verified
-against its least one only, and of each component found that way one text is
-left; that is repeated while it removes any.  The pairs of what is left are
-all formed.  So no two texts that stay are near-duplicates, and each that goes
-is tied to one that stays by a chain of verified pairs.
+The second half of near-dedup: SimHash finds what is nearly equal, this finds
+the rest of what shares ``LEAST`` of its shingles.  A text is the set of its
+shingles of ``WORDS`` words (lower case, split at white space; a shorter text
+is one shingle), each a 64-bit hash.  Two sets of similarity ``LEAST`` or more
+share one of the first n - ceil(LEAST n) + 1 hashes of either in any common
+order, so texts that share none of these prefixes are no pair, and all others
+are candidates, verified on whole sets.  The order puts hashes that are
+frequent in a sample last, which keeps posting lists short and, as any order
+will do, loses nothing.
+
+Candidates are met in posting lists, in rounds.  All pairs of a list of at
+most ``LIST_ROWS`` texts are formed.  In a longer list all are compared with
+one, its pivot; of each component found that way one text is left, the pivot
+is done with, and what remains of the list comes again in the next round.  If
+a round takes nothing out, the lists left hold texts that differ although they
+share a hash, and their pairs are formed.  So no two texts that stay are
+near-duplicates, and each that goes is tied to one that stays by a chain of
+verified pairs.
 
 Edge cases: null and empty texts are empty sets and near to none; texts that
-differ only in case or white space are near; rows without a doc_id stay only
-where their component has no other; an empty table
-gives no rows.
+differ only in case or white space are near; of a component the row of the
+least doc_id stays (null last, of several the first row); texts of any length
+are read whole; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from fractions import Fraction
 from itertools import islice
 from math import ceil
@@ -31,18 +35,17 @@ from math import ceil
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from votelake.llm.common import materialize
+from votelake.llm.common import ROW, by_number, materialize
 from votelake.llm.simhash import components
 
 WORDS = 5
 LEAST = Fraction(4, 5)
 SEED = 42
+#: Longest list whose pairs are formed at once.
 LIST_ROWS = 64
-#: So many of the highest numbers stand for rows without a doc_id.
-NAMELESS = 1 << 40
 #: About how many texts are sampled for frequent hashes, in how many of them a hash is frequent, and how many hashes are taken at most.
 SAMPLE, FREQUENT, MOST = 5000, 5, 50_000
 
@@ -59,107 +62,111 @@ def prefix_size(n: int) -> int:
     return n - ceil(LEAST * n) + 1 if n else 0
 
 
-def frequent(docs: DataFrame, words: int = WORDS) -> np.ndarray:
+def frequent(rows: DataFrame, words: int = WORDS) -> np.ndarray:
     """Hashes that are frequent in a sample."""
-    step = max(1, docs.count() // SAMPLE)
-    sample = sets_of(docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(step)) == 0), words)
+    step = max(1, rows.count() // SAMPLE)
+    sample = sets_of(rows.filter(F.pmod(F.xxhash64(ROW), F.lit(step)) == 0), words)
     counted = sample.select(F.explode("set").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= FREQUENT)
     return np.sort(np.array([r["h"] for r in counted.orderBy(F.desc("n"), "h").limit(MOST).collect()], dtype=np.int64))
 
 
-def node_of(doc_id: int | None, data: bytes) -> int:
-    """The doc_id; without one, a number above all of them."""
-    return (1 << 63) - 1 - xxhash.xxh64_intdigest(data, SEED) % NAMELESS if doc_id is None else doc_id
+def with_sets(rows: DataFrame, words: int, columns: dict[str, pa.DataType], schema: str, made: Callable[[np.ndarray], tuple]) -> DataFrame:
+    """The number of each row and what ``made`` derives from its set."""
 
+    def each(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                for number, data in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    yield number, *made(shingles(data or b"", words))
 
-def prefixes(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """node, size of its set and the prefix of that, for every row."""
-    last = frequent(docs, words)
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, int, np.ndarray]]:
-        for node, x in hashed(batches, words):
-            late = np.isin(x, last)
-            yield node, len(x), np.concatenate([x[~late], x[late]])[: prefix_size(len(x))]
-
-    def batched(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = run(batches)
-        while part := list(islice(rows, 512)):
-            node, size, prefix = zip(*part, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(size, pa.int64()), pa.array(prefix, pa.list_(pa.int64()))], names=["node", "size", "prefix"])
-
-    return with_data(docs).mapInArrow(batched, "node bigint, size bigint, prefix array<bigint>")
-
-
-def with_data(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode("text", "UTF-8").alias("data"))
-
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = each(batches)
+        while part := list(islice(found, 256)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part, strict=True), columns.values(), strict=True)], names=list(columns))
 
-def hashed(batches: Iterable[pa.RecordBatch], words: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Node and set of each row."""
-    for whole in batches:
-        for at in range(0, whole.num_rows, 512):
-            batch = whole.slice(at, 512)
-            for i, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                yield node_of(i, x or b""), shingles(x or b"", words)
+    return rows.select(ROW, F.encode("text", "UTF-8").alias("data")).mapInArrow(run, schema)
 
 
-def sets_of(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """node and the whole set of each row."""
+def prefixes(rows: DataFrame, words: int = WORDS) -> DataFrame:
+    """node (the row's number), the size of its set and the prefix of that."""
+    last = frequent(rows, words)
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = hashed(batches, words)
-        while part := list(islice(rows, 256)):
-            node, held = zip(*part, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(held, pa.list_(pa.int64()))], names=["node", "set"])
+    def made(x: np.ndarray) -> tuple[int, np.ndarray]:
+        late = np.isin(x, last)
+        return len(x), np.concatenate([x[~late], x[late]])[: prefix_size(len(x))]
 
-    return with_data(docs).mapInArrow(run, "node bigint, set array<bigint>")
+    columns = {"node": pa.int64(), "size": pa.int64(), "prefix": pa.list_(pa.int64())}
+    return with_sets(rows, words, columns, "node bigint, size bigint, prefix array<bigint>", made)
 
 
-def named(nodes: DataFrame) -> DataFrame:
-    """doc_ids of nodes, as ``__vl_id``."""
-    return nodes.select(F.when(F.col("node") < (1 << 63) - NAMELESS, F.col("node")).alias("__vl_id")).distinct()
+def sets_of(rows: DataFrame, words: int = WORDS) -> DataFrame:
+    """node and its whole set."""
+    return with_sets(rows, words, {"node": pa.int64(), "set": pa.list_(pa.int64())}, "node bigint, set array<bigint>", lambda x: (x,))
 
 
-def verified(docs: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
+def verified(rows: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
     """Those of the pairs of nodes (a, b) that are near-duplicates; only their texts are hashed again."""
     pairs = materialize(pairs)
-    nodes = materialize(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
-    rows = docs.join(named(nodes), F.col("doc_id").eqNullSafe(F.col("__vl_id")), "left_semi")
-    sets = materialize(sets_of(rows, words).join(nodes, "node", "left_semi"))
+    nodes = pairs.select(F.col("a").alias(ROW)).union(pairs.select("b")).distinct()
+    sets = materialize(sets_of(by_number(rows, nodes, "left_semi"), words))
     both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").withColumn("n", F.size(F.array_intersect("x", "y")))
     # n / union >= LEAST, in whole numbers
-    return materialize(both.filter(F.col("n") * (LEAST.denominator + LEAST.numerator) >= LEAST.numerator * (F.size("x") + F.size("y"))).select("a", "b").distinct())
+    return materialize(both.filter(F.col("n") * (LEAST.denominator + LEAST.numerator) >= LEAST.numerator * (F.size("x") + F.size("y"))).select("a", "b"))
 
 
-def kept_ids(docs: DataFrame, ids: DataFrame, words: int = WORDS) -> DataFrame:
-    """Of the documents named by ``ids(__vl_id)`` those that stay, as ``__vl_id``.
+def candidates(members: DataFrame, long: DataFrame | None = None) -> DataFrame:
+    """Pairs of nodes (a, b) that meet in the lists of members(h, node, size) and can reach ``LEAST``.
 
-    The least node of a component stays; texts of one doc_id are one node.
+    What two sets share is counted in their lists, may be in the lists of
+    ``long`` that both are in, or lies behind the prefix that ends first.
     """
     up, down = LEAST.numerator, LEAST.denominator
-    made = materialize(prefixes(docs, words))
-    made = made.withColumn("doc_id", F.when(F.col("node") < (1 << 63) - NAMELESS, F.col("node"))).join(ids, F.col("doc_id").eqNullSafe(F.col("__vl_id")), "left_semi")
-    keyed = made.select(F.explode("prefix").alias("h"), "node", "size")
-    # most hashes are in one text only; they leave here
-    posting = materialize(keyed.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("h"))).filter("n > 1").select("h", "node", "size"))
-    comparable = (F.col("a") != F.col("b")) & (F.least("a_size", "b_size") * down >= F.greatest("a_size", "b_size") * up)
-    gone = []
+    m = members.select("h", "node", "size", F.lit(0).cast("long").alias("more"))
+    if long is not None:
+        more = long.groupBy("node").agg(F.count(F.lit(1)).alias("more"))
+        m = members.select("h", "node", "size").join(more, "node", "left").select("h", "node", "size", F.coalesce("more", F.lit(0)).alias("more"))
+    met = m.toDF("h", "a", "a_size", "a_more").join(m.toDF("h", "b", "b_size", "b_more"), "h").filter("a < b")
+    met = met.filter(F.least("a_size", "b_size") * down >= F.greatest("a_size", "b_size") * up)
+    met = met.groupBy("a", "b").agg(*[F.first(c).alias(c) for c in ("a_size", "b_size", "a_more", "b_more")], F.count(F.lit(1)).alias("n"))
+    behind = F.greatest(*[F.ceil(F.col(c) * up / down) - 1 for c in ("a_size", "b_size")]) + F.least("a_more", "b_more")
+    return met.filter((F.col("n") + behind) * (up + down) >= (F.col("a_size") + F.col("b_size")) * up).select("a", "b")
+
+
+def with_lists(members: DataFrame) -> DataFrame:
+    """Members (h, node, size) of lists of two or more, with the list's length n and its pivot."""
+    lists = materialize(members.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("pivot")).filter("n > 1"))
+    return materialize(members.join(lists, "h").select("h", "node", "size", "n", "pivot"))
+
+
+def losers(edges: DataFrame, ids: DataFrame) -> DataFrame:
+    """The nodes of each component of ``edges`` but the one that stays."""
+    found = materialize(components(edges).join(ids, "node"))
+    rank = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("node").alias("r"))
+    stays = found.groupBy("root").agg(F.min(rank)["r"].alias("stays"))
+    return materialize(found.join(stays, "root").filter("node != stays").select("node"))
+
+
+def copies(rows: DataFrame, words: int = WORDS) -> DataFrame:
+    """Numbers of the ``numbered`` rows that go, so that no two of the rest are near-duplicates."""
+    made = materialize(prefixes(rows, words))
+    ids = rows.select(F.col(ROW).alias("node"), F.col("doc_id").cast("long").alias("doc_id"))
+    members = with_lists(made.select(F.explode("prefix").alias("h"), "node", "size"))
+    gone = made.select("node").limit(0)
     while True:
-        lists = posting.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("node", "size")).alias("t")).filter(F.col("n") > LIST_ROWS)
-        stars = posting.toDF("h", "a", "a_size").join(lists.select("h", F.col("t.node").alias("b"), F.col("t.size").alias("b_size")), "h")
-        edges = verified(docs, stars.filter(comparable).select("a", "b").distinct(), words)
-        if edges.isEmpty():
+        short, long = members.filter(F.col("n") <= LIST_ROWS), members.filter(F.col("n") > LIST_ROWS)
+        stars = long.filter("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+        edges = verified(rows, candidates(short, long).unionByName(stars).distinct(), words)
+        found = not edges.isEmpty()
+        if found:
+            gone = materialize(gone.unionByName(losers(edges, ids)))
+        if long.isEmpty():
+            break
+        rest = long.filter("node != pivot").select("h", "node", "size").join(gone, "node", "left_anti")
+        if not found:
+            edges = verified(rows, candidates(rest), words)
+            if not edges.isEmpty():
+                gone = materialize(gone.unionByName(losers(edges, ids)))
             break
-        gone.append(materialize(components(edges).filter("node != root").select("node")))
-        posting = materialize(posting.join(gone[-1], "node", "left_anti").select("h", "node", "size"))
-    pairs = posting.toDF("h", "a", "a_size").join(posting.toDF("h", "b", "b_size"), "h").filter(F.col("a") < F.col("b")).filter(comparable)
-    # what two sets share is in both prefixes or behind the one that ends first
-    behind = F.greatest(*[F.ceil(F.col(c) * up / down) - 1 for c in ("a_size", "b_size")])
-    pairs = pairs.groupBy("a", "b", "a_size", "b_size").agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") + behind) * (up + down) >= (F.col("a_size") + F.col("b_size")) * up)
-    edges = verified(docs, pairs.select("a", "b").distinct(), words)
-    if not edges.isEmpty():
-        gone.append(materialize(components(edges).filter("node != root").select("node")))
-    left = made.select("node")
-    for g in gone:
-        left = left.join(g, "node", "left_anti")
-    return named(left)
+        members = with_lists(rest)
+    return gone.select(F.col("node").alias(ROW))

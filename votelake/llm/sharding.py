@@ -7,7 +7,11 @@ looks at another: assignment is one projection without a shuffle.
 
 Edge cases: a null text has no bytes (size 1, checksum 0); a null doc_id is a
 key of its own and such rows share a shard; repeated rows share a shard and
-get slots of their own; an empty table gives no rows.
+get slots of their own; texts of any length are read whole; a shard of weight
+0 takes no row, and weights that are all 0 or below 0 are an error; of equal
+scores the lower shard wins; other columns, whatever their names (but for
+``__vl_``), are not read by ``assign`` and kept by ``write_shards``; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,30 +30,36 @@ def uniform(key: Column, shard: int) -> Column:
     return (F.conv(hex13, 16, 10).cast("double") + 0.5) / F.lit(float(1 << 52))
 
 
+def scores(key: Column, weights: list[float]) -> Column:
+    """(score, shard) of each shard that has a weight, in order of shards."""
+    if min(weights, default=0.0) < 0 or not any(weights):
+        raise ValueError("weights must not be below 0, and one must be over 0")
+    return F.array(*[F.struct((-F.ln(uniform(key, i)) / F.lit(float(w))).alias("s"), F.lit(i).alias("i")) for i, w in enumerate(weights) if w])
+
+
 def rendezvous(key: Column, weights: list[float]) -> Column:
     """The number of the shard that wins the key; the lower number on a tie."""
-    scores = [F.struct((-F.ln(uniform(key, i)) / F.lit(float(w))).alias("s"), F.lit(i).alias("i")) for i, w in enumerate(weights) if w > 0]
-    return F.array_min(F.array(*scores))["i"]
+    return F.array_min(scores(key, weights))["i"]
 
 
 def assign(docs: DataFrame, weights: list[float], key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, size, text_crc32, shard, slot and the shard after one more of mean weight joins.
+    """doc_id, size, text_crc32, shard, slot and the shard after one more, of the mean weight of those that have one, joins.
 
     Slots number a shard's rows from 0 without gaps, in an order by key hash.
     """
-    grown = [*weights, sum(weights) / len(weights)]
-    scores = [(-F.ln(uniform(F.col(key), i)) / F.lit(float(w))) for i, w in enumerate(grown)]
+    live = [w for w in weights if w]
+    grown = [*weights, sum(live) / max(1, len(live))]
     scored = docs.select(
         F.col(key).alias("doc_id"),
         (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"),
         F.crc32(F.encode(F.coalesce(text, F.lit("")), "UTF-8")).alias("text_crc32"),
-        F.transform(F.array(*scores), lambda s, i: F.struct(s.alias("s"), i.alias("i"))).alias("c"),
+        scores(F.col(key), grown).alias("c"),
     )
     rows = scored.select(
         "doc_id",
         "size",
         "text_crc32",
-        F.array_min(F.slice("c", 1, len(weights)))["i"].alias("shard"),
+        F.array_min(F.slice("c", 1, len(live)))["i"].alias("shard"),
         F.array_min("c")["i"].alias("grown_shard"),
     )
     rows = rows.withColumn("h", spread_hash(F.col("doc_id"), F.col("text_crc32"))).withColumn("one", F.lit(1).cast("long"))

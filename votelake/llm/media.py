@@ -1,17 +1,21 @@
 """Media columns: texts kept as WAV samples and fingerprinted by spectral peaks.
 
 A payload is stored as 8-bit mono samples by the ``wave`` module and read back
-from the stored bytes.  The samples are cut into frames of ``FRAME``, a
-short-time Fourier transform (Hann window) gives a spectrum a frame, its
-strongest local maxima are peaks, and each peak is paired with the first peaks
-of this and the next frames.  A pair is one integer (both frequencies and the
-distance in time) at the time of its first peak; both stand in arrays, so a
-fingerprint is a column like any other.
+from the stored bytes.  The samples are cut into frames of ``FRAME``, one
+every ``HOP`` = a quarter frame, so that every sample stands near the middle of
+one and a shifted excerpt finds its frames again.  A short-time Fourier
+transform (Hann window) gives a spectrum a frame, its strongest local maxima
+are peaks, and each peak is paired with the first peaks of this and the next
+frames.  A pair is one integer (both frequencies and the distance in time) at
+the time of its first peak; both stand in arrays, so a fingerprint is a column
+like any other.
 
 Edge cases: a null text is the empty payload, which is padded to one frame of
-255; equal texts give equal columns; a constant frame has no peak and gives no
+255; equal texts give equal columns, so repeated rows do; of equally strong
+maxima the lower frequency counts; a constant frame has no peak and gives no
 pair; long payloads are worked on in blocks, so memory does not follow a
-text's length times the spectrum's width.
+text's length times the spectrum's width; other columns, whatever their names,
+are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,10 +32,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FRAME = 576
+HOP = FRAME // 4
 PAD = 255
 RATE = 8000
 PEAKS = 2
-REACH = 2
+#: Frames ahead in which a peak finds partners: one frame length.
+REACH = 4
 #: Frames transformed at once; 2048 spectra take about 10 MB.
 BLOCK = 2048
 
@@ -101,27 +107,33 @@ def landmarks(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return t[ok][order].astype(np.int32), code[order]
 
 
+def frames_of(payload: bytes) -> np.ndarray:
+    """The overlapping frames of a payload, as a view."""
+    return np.lib.stride_tricks.sliding_window_view(np.frombuffer(payload, dtype=np.uint8), FRAME)[::HOP]
+
+
 def batch_peaks(payloads: list[bytes]) -> Iterator[np.ndarray]:
-    """Peaks of each payload; frames of many payloads are transformed together."""
-    waiting, held = [], 0
+    """Peaks of each payload; frames of many payloads are transformed together, at most ``BLOCK`` at once."""
+    waiting: list[np.ndarray] = []
+    held = 0
 
     def flush() -> Iterator[np.ndarray]:
-        found = peaks(np.frombuffer(b"".join(waiting), dtype=np.uint8).reshape(-1, FRAME))
+        found = peaks(np.concatenate(waiting))
         at = 0
-        for p in waiting:
-            n = len(p) // FRAME
-            yield found[at : at + n]
-            at += n
+        for f in waiting:
+            yield found[at : at + len(f)]
+            at += len(f)
 
     for p in payloads:
-        n = len(p) // FRAME
+        frames = frames_of(p)
+        n = len(frames)
         if held and held + n > BLOCK:
             yield from flush()
             waiting, held = [], 0
         if n > BLOCK:
-            yield np.concatenate([peaks(np.frombuffer(p[i : i + BLOCK * FRAME], dtype=np.uint8).reshape(-1, FRAME)) for i in range(0, len(p), BLOCK * FRAME)])
+            yield np.concatenate([peaks(frames[i : i + BLOCK]) for i in range(0, n, BLOCK)])
         else:
-            waiting.append(p)
+            waiting.append(frames)
             held += n
     if held:
         yield from flush()

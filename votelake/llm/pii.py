@@ -1,10 +1,11 @@
 """Personal data: generators propose spans, boosted trees select the redactions.
 
 Base kinds (email, ip, card, phone) are fixed patterns with a check each; what
-passes always stays.  Two generators of high recall propose more, overlapping
+passes always stays.  Three generators of high recall propose more, overlapping
 as they may: ``mail`` (addresses written with at and dot in words, brackets or
-spaces) and ``number`` (groups of digits: telephone numbers without a plus
-sign, national ids and the like).  Boosted trees score each proposal from its
+spaces), ``number`` (groups of digits: telephone numbers without a plus
+sign, national ids and the like) and ``secret`` (unbroken runs of letters and
+digits: keys, tokens, passwords).  Boosted trees score each proposal from its
 format and its context, a logistic fit on other rows calibrates the score, and
 each generator has the least threshold at which calibration rows reach
 ``PRECISION``.  A chosen span that overlaps a base span, or one of the
@@ -18,8 +19,11 @@ DataFrame and SQL functions: one scan, one narrow shuffle by row.
 
 Edge cases: a null text is empty and has no span; equal texts have equal
 spans; offsets are code points, ends exclusive; patterns are possessive, so a
-run of any length is scanned once and never recursed into; an empty table
-gives no rows; repeated rows are kept apart by a row number.
+run of any length is scanned once and never recursed into, so very long texts
+are read whole; of spans that begin together the longer match of a kind
+counts, and of kinds the one named first; repeated rows are kept apart by a
+row number; a null doc_id is kept; other columns, whatever their names, are
+not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-SAMPLE = 6000
+SAMPLE = 9000
 ROUNDS = 30
 DEPTH = 3
 RATE = 0.3
@@ -37,7 +41,7 @@ PRECISION = 0.98
 LEFT, RIGHT = 24, 12
 
 BASE = ("email", "ip", "card", "phone")
-GENERATORS = ("mail", "number")
+GENERATORS = ("mail", "number", "secret")
 
 _LOCAL = "A-Za-z0-9._%+-"
 #: Equal to the plain patterns of the contract: a match may begin after a character of its own first class only where the match before ended.
@@ -48,6 +52,7 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "mail": rf"(?i)(?:\G|(?<![{_LOCAL}]))[{_LOCAL}]++(?:\x20?@\x20?|\x20?[\[({{]\x20?at\x20?[\])}}]\x20?|\x20at\x20)[a-z0-9-]++(?:(?:\x20?\.\x20?|\x20?[\[({{]\x20?dot\x20?[\])}}]\x20?|\x20dot\x20)[a-z0-9-]++)++",
     "number": r"(?:\G|(?<![0-9A-Za-z]))\(?[0-9](?:[\x20().\x2F-]{0,2}[0-9]){6,18}+(?![0-9A-Za-z])",
+    "secret": r"(?:\G|(?<![A-Za-z0-9_/+-]))(?=[A-Za-z_/+-]*+[0-9])(?=[0-9_/+-]*+[A-Za-z])[A-Za-z0-9_/+-]{8,}+={0,2}",
 }
 _AT, _DOT = r"\x20?[\[({]\x20?at\x20?[\])}]\x20?|\x20at\x20", r"\x20?\.\x20?|\x20?[\[({]\x20?dot\x20?[\])}]\x20?|\x20dot\x20"
 #: Texts without these hold no match, which a plain scan tells sooner. That of ``mail`` is a part of each of its matches.
@@ -58,6 +63,7 @@ NEEDS = {
     "phone": lambda t: t.contains("+"),
     "mail": lambda t: t.contains("@") | t.rlike(rf"(?i)(?:{_AT})[a-z0-9-]++(?:{_DOT})[a-z0-9-]"),
     "number": lambda t: t.rlike("[0-9]"),
+    "secret": lambda t: t.rlike("[0-9][_/+-]*+[A-Za-z]|[A-Za-z][_/+-]*+[0-9]"),
 }
 
 
@@ -130,11 +136,17 @@ def features() -> dict[str, Column]:
         "ask_id": has(left.rlike(r"(?:ssn|social security|passport|national id|tax id|insurance)[a-z]{0,4}\W{0,4}(?:no|number|is)?\W{0,4}$")),
         "other": has(left.rlike(r"(?:version|page|isbn|order|price|total|invoice|figure|table|serial|part)[a-z.]{0,4}\W{0,4}(?:no|number|is)?\W{0,4}$|[$#=]\W?$")),
         "more": has(right.rlike(r"^\W?[0-9$%=/]")),
+        "hexes": has(v.rlike(r"^(?:[0-9a-f]{24,}|[0-9A-F]{24,})$")),
+        "classes": has(v.rlike("[a-z]")) + has(v.rlike("[A-Z]")) + has(v.rlike("[0-9]")),
+        "turns": F.least(F.regexp_count(v, F.lit("[A-Za-z][0-9]")), F.lit(6)),
+        "issuer": has(v.rlike(r"^(?:AKIA|ASIA|AIza|gh[opsu]_|github_pat_|glpat-|sk[-_]|xox[abp]-|eyJ)")),
+        "ask_secret": has(left.rlike(r"(?:token|secret|passw(?:or)?d|pwd|api[ _-]?key|(?:access|private)[ _-]?key|auth|bearer|credential)[a-z_]{0,8}[\"']?\s{0,2}(?:[:=]|is)?\s{0,2}[\"'`]?$")),
+        "ask_hash": has(left.rlike(r"(?:commit|sha-?[0-9]{0,3}|md5|checksum|digest|etag|hash|uuid|revision|blob|tree)[\"']?\s{0,2}(?:[:=]|is)?\s{0,2}[\"'`]?$")),
     }
 
 
 def practice(spark: SparkSession, rows: int = SAMPLE) -> DataFrame:
-    """Labelled texts, each with one proposal, written by rule from row numbers."""
+    """Labelled texts, each with one proposal of the generator ``aim``, written by rule from row numbers."""
     pick = lambda salt, values: F.element_at(F.array(*[F.lit(x) for x in values]), (F.pmod(F.xxhash64(F.col("id"), F.lit(salt)), F.lit(len(values))) + 1).cast("int"))
     d = F.translate(F.md5(F.concat(F.lit("n"), F.col("id").cast("string"))), "abcdef", "927183")
     s = lambda a, n: F.substring(d, a, n)
@@ -146,6 +158,12 @@ def practice(spark: SparkSession, rows: int = SAMPLE) -> DataFrame:
     year = F.concat(F.lit("20"), F.lpad((F.col("id") % 25).cast("string"), 2, "0"))
     month, day = F.lpad((F.col("id") % 12 + 1).cast("string"), 2, "0"), F.lpad((F.col("id") % 28 + 1).cast("string"), 2, "0")
     c = F.concat
+    hexes = c(F.md5(c(F.lit("x"), F.col("id").cast("string"))), s(1, 8))
+    mixed = F.translate(F.base64(F.unhex(c(F.md5(c(F.lit("y"), F.col("id").cast("string"))), F.md5(c(F.lit("z"), F.col("id").cast("string")))))), "+/=", "kQ")
+    m = lambda n: F.substring(mixed, 1, n)
+    key = pick("k", ["token = ", "secret: ", "api_key=", "apikey = ", "access_token: ", "auth_token=", "private_key = "])
+    entry, check = pick("w", ["password = ", "passwd: ", "pwd=", "password is "]), pick("x", ["commit ", "sha256: ", "md5 ", "checksum ", "etag=", "digest "])
+    quote = pick("q", ['"', "'", ""])
     good = [
         c(call, s(1, 3), F.lit("-"), s(4, 3), F.lit("-"), s(7, 4)),
         c(call, F.lit("("), s(1, 3), F.lit(") "), s(4, 3), F.lit("-"), s(7, 4)),
@@ -176,11 +194,32 @@ def practice(spark: SparkSession, rows: int = SAMPLE) -> DataFrame:
         c(plain, word("a"), F.lit(" at "), word("b"), F.lit(". "), word("d")),
         c(other, word("a"), F.lit(" @ "), s(1, 2), F.lit("."), s(3, 2)),
     ]
-    kinds = [F.struct(x.alias("text"), F.lit(1).alias("label")) for x in good] + [F.struct(x.alias("text"), F.lit(0).alias("label")) for x in bad]
+    good_secrets = [
+        c(key, quote, hexes, quote),
+        c(key, quote, m(24), quote),
+        c(key, quote, m(40), quote),
+        c(entry, quote, pick("f", ["Trout", "winter", "Qwerty_", "blue-moon"]), s(1, 4), quote),
+        c(F.lit("authorization: bearer "), m(36)),
+        c(plain, F.lit("AKIA"), F.upper(m(16))),
+        c(plain, F.lit("ghp_"), m(36)),
+    ]
+    bad_secrets = [
+        c(check, hexes),
+        c(check, F.substring(hexes, 1, 32)),
+        c(plain, hexes),
+        c(plain, pick("g", ["img", "scan", "report_", "covid-19-v", "file"]), year, month, day),
+        c(other, pick("g", ["item", "model-", "build", "x86_64-r", "mp3-rev"]), s(1, 6)),
+        c(plain, pick("g", ["item", "model-", "build", "covid-19", "mp3-rev"]), s(1, 6)),
+        c(F.lit("id="), pick("g", ["item", "page", "node"]), s(1, 8)),
+        c(plain, name, s(1, 4), F.lit("_"), word("a")),
+    ]
+    of = lambda x: "mail" if any(x is y for y in (*good[8:], *bad[-3:])) else "number"
+    made = [(x, 1, of(x)) for x in good] + [(x, 0, of(x)) for x in bad] + [(x, 1, "secret") for x in good_secrets] + [(x, 0, "secret") for x in bad_secrets]
+    kinds = [F.struct(x.alias("text"), F.lit(y).alias("label"), F.lit(k).alias("aim")) for x, y, k in made]
     which = F.pmod(F.xxhash64(F.col("id"), F.lit("kind")), F.lit(len(kinds))) + 1
-    made = spark.range(0, rows, 1, 4).select("id", F.element_at(F.array(*kinds), which.cast("int")).alias("x"))
+    drawn = spark.range(0, rows, 1, 4).select("id", F.element_at(F.array(*kinds), which.cast("int")).alias("x"))
     tail = pick("end", [". ", " ", ", and", "!", " the"])
-    return made.select("id", F.concat("x.text", tail).alias("text"), "x.label", (F.pmod(F.xxhash64("id", F.lit("fold")), F.lit(3)) == 0).alias("calibrate"))
+    return drawn.select("id", F.concat("x.text", tail).alias("text"), "x.label", "x.aim", (F.pmod(F.xxhash64("id", F.lit("fold")), F.lit(3)) == 0).alias("calibrate"))
 
 
 Tree = tuple  # ("leaf", value) or (feature, cut, low, high)
@@ -276,7 +315,7 @@ class Selector:
 def fit(spark: SparkSession, rows: int = SAMPLE) -> Selector:
     """Counts the features of the practice texts and fits; deterministic."""
     f = features()
-    found = proposals(practice(spark, rows), GENERATORS, ["id", "label", "calibrate"]).filter("kind is not null")
+    found = proposals(practice(spark, rows), GENERATORS, ["id", "label", "aim", "calibrate"]).filter("kind = aim")
     counted = found.select("kind", "label", "calibrate", *[c.alias(n) for n, c in f.items()]).groupBy("kind", "label", "calibrate", *f).count()
     got = sorted((r["kind"], tuple(r[n] for n in f), r["label"], r["calibrate"], r["count"]) for r in counted.collect())
     return Selector([(k, dict(zip(f, x, strict=True)), y, c, n) for k, x, y, c, n in got])
@@ -299,7 +338,8 @@ def find(docs: DataFrame, selector: Selector | None = None) -> DataFrame:
     placed = placed.withColumn("no", F.when(F.col("ok"), number).otherwise(0))
     earlier = Window.partitionBy("__r").orderBy("start").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     later = Window.partitionBy("__r").orderBy("start").rangeBetween(Window.currentRow, Window.unboundedFollowing)
-    for before, kind in ((len(BASE), 5), (5, 6)):
+    for before in range(len(BASE), len(kinds)):
+        kind = before + 1
         firm = F.col("no").between(1, before)
         clash = (F.coalesce(F.max(F.when(firm, F.col("end"))).over(earlier), F.lit(0)) > F.col("start")) | (F.coalesce(F.min(F.when(firm, F.col("start"))).over(later), F.lit(1 << 60)) < F.col("end"))
         placed = placed.withColumn("__c", clash).withColumn("no", F.when((F.col("no") == kind) & F.col("__c"), 0).otherwise(F.col("no"))).drop("__c")
@@ -332,5 +372,5 @@ def redact(text: Column, found: Column, mark: str = "[{}]") -> Column:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     base = F.filter("found", lambda x: x["no"] <= len(BASE))
-    counts = [count_of("found", n).alias(f"n_{k}") for n, k in enumerate(BASE, 1)]
-    return found.select("doc_id", *counts, F.sha2(F.encode(joined(base), "UTF-8"), 256).alias("base_sha256"), joined(F.col("found")).alias("spans"))
+    counts = [count_of("found", n).alias(f"n_{k}") for n, k in enumerate(BASE + GENERATORS, 1)]
+    return found.select("doc_id", *counts, F.sha2(F.encode(joined(base), "UTF-8"), 256).alias("base_sha256"), joined(F.col("found")).alias("spans"), F.size("found").cast("long").alias("n_spans"))

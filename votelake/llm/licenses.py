@@ -1,8 +1,8 @@
 """Licence scans: TF-IDF cosine to templates, then inheritance along directories.
 
-Every line of every text is a possible header and every text a possible
-licence file; both are sparse TF-IDF vectors compared with the templates by
-cosine.  Whole texts are also compared with whole licences and notice blocks
+Every block of up to ``LINES`` lines of every text is a possible header (blank
+lines end a block) and every text a possible licence file; both are sparse
+TF-IDF vectors compared with the templates by cosine.  Whole texts are also compared with whole licences and notice blocks
 (``license_bodies``), there with logarithms of counts, as frequent words of
 long texts would outweigh the rest.  Weights of template terms come from document counts over the whole
 corpus; any other term has the weight of one never seen.  A file whose whole
@@ -16,8 +16,9 @@ The templates and their vocabulary are fixed, so what executors are sent is
 bounded: a count for each term of them.
 
 Edge cases: null text is empty and has no licence; a null path is the root
-directory's; ties take the earlier template and the first line; repeated rows
-are scanned alike; an empty table gives no rows; whole texts are read,
+directory's; a null doc_id is kept; ties take the earlier template and the
+first line; repeated rows are scanned alike; other columns, whatever their
+names, are not read; an empty table gives no rows; whole texts are read,
 whatever their length.
 """
 
@@ -38,6 +39,8 @@ from votelake.llm.license_bodies import bodies
 
 LINE_COSINE = 0.6
 FILE_COSINE = 0.6
+#: Lines that a header may be spread over.
+LINES = 3
 
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
@@ -106,18 +109,21 @@ class Matcher:
             for t, n in tf.items():
                 self.by_term[t].append((i, n * self.idf[t] / norm))
 
-    def best(self, tokens: list[str], least: float) -> tuple[float, int]:
-        """The highest cosine and its template's number; (0, -1) if it is under ``least``."""
+    def weigh(self, tokens: list[str]) -> tuple[Counter[str], list[str], float, float]:
+        """Counts, the template terms among them, and the squared lengths of both parts of the vector."""
         tf = Counter(tokens)
-        hits = VOCABULARY.intersection(tf)
-        if not hits:
-            return 0.0, -1
+        hits = sorted(VOCABULARY.intersection(tf))
         known = sum([(tf[t] * self.idf[t]) ** 2 for t in hits])
-        rest = sum([n * n for t, n in tf.items() if t not in hits]) * self.unseen**2
-        if known < least * least * (known + rest):  # no template can reach it
+        squares = sum([n * n for n in tf.values()]) - sum([tf[t] ** 2 for t in hits])
+        return tf, hits, known, squares * self.unseen**2
+
+    def best(self, weighed: tuple[Counter[str], list[str], float, float], least: float) -> tuple[float, int]:
+        """The highest cosine and its template's number; (0, -1) if it is under ``least``."""
+        tf, hits, known, rest = weighed
+        if not hits or known < least * least * (known + rest):  # no template can reach it
             return 0.0, -1
         score = [0.0] * len(TEMPLATES)
-        for t in sorted(hits):
+        for t in hits:
             w = tf[t] * self.idf[t]
             for i, v in self.by_term[t]:
                 score[i] += w * v
@@ -126,16 +132,28 @@ class Matcher:
         return (cosine, top) if cosine >= least else (0.0, -1)
 
     def scan(self, text: str) -> tuple[str | None, float, int, str | None, float]:
-        """Header licence, its cosine and line number; licence of the whole file and its cosine."""
+        """Header licence, its cosine and first line's number; licence of the whole file and its cosine."""
         found, score, at = -1, 0.0, -1
         everything: list[str] = []
+        recent: list[tuple[int, list[str], tuple]] = []
         for i, line in enumerate(text.split("\n")):
             tokens = terms(line)
+            if not tokens:
+                recent = []
+                continue
             everything += tokens
-            c, t = self.best(tokens, LINE_COSINE)
-            if t >= 0 and c > score + 1e-12:
-                found, score, at = t, c, i
-        c, t = self.best(everything, FILE_COSINE)
+            recent = [*recent[1 - LINES :], (i, tokens, self.weigh(tokens))]
+            block, length, rest = [], 0.0, 0.0
+            for first, part, weighed in reversed(recent):
+                block = part + block
+                length, rest = length + math.sqrt(weighed[2]), rest + weighed[3]
+                # a block's known part is at most as long as its lines' together, its rest at least
+                if length * length * (1 - LINE_COSINE**2) < LINE_COSINE**2 * rest:
+                    continue
+                c, t = self.best(weighed if first == i else self.weigh(block), LINE_COSINE)
+                if t >= 0 and c > score + 1e-12:
+                    found, score, at = t, c, first
+        c, t = self.best(self.weigh(everything), FILE_COSINE)
         name = lambda k: TEMPLATES[k][0] if k >= 0 else None
         file_license, b = name(t), self.bodies.best(everything, FILE_COSINE)
         if b[0] > c + 1e-12:

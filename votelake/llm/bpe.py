@@ -15,7 +15,9 @@ it by default.
 
 Edge cases: null and empty texts have no tokens and decode to the empty text;
 repeated rows and ties have equal results (of equal ranks the leftmost merges
-first).  Nothing is cut: texts of any length are encoded whole.
+first).  Nothing is cut: texts of any length are encoded whole.  A null doc_id
+is kept; other columns, whatever their names, are not read; an empty table
+gives no rows.
 """
 
 from __future__ import annotations

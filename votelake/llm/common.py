@@ -16,6 +16,9 @@ SPACE = r"\x20\x09-\x0D"
 HOT_SHARE = 0.001
 #: Keys with fewer rows than this are never hot.
 HOT_ROWS = 500
+#: Rows that a Python worker gets at once while a table is written; texts may be long.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Folders of materialised tables, oldest first.
 _written: list[str] = []
 
@@ -48,8 +51,13 @@ def materialize(df: DataFrame, folder: str | None = None) -> DataFrame:
     Cuts the lineage: lost executors never cause the upstream work to be done
     again, and later passes read only the columns they need.
     """
-    path = folder or work_folder(df.sparkSession)
-    df.write.mode("overwrite").parquet(path)
+    path, spark = folder or work_folder(df.sparkSession), df.sparkSession
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, str(min(int(before), BATCH_ROWS)))
+    try:
+        df.write.mode("overwrite").parquet(path)
+    finally:
+        spark.conf.set(_BATCH, before)
     if not folder:
         _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -62,7 +70,15 @@ MOST_NUMBERS = 2_000_000
 
 
 def numbered(rows: DataFrame) -> DataFrame:
-    """The rows with a number each in ``ROW``, written once, so that every later pass agrees on it."""
+    """The rows with a number each in ``ROW``, on which every later pass agrees.
+
+    That is doc_id where it names each row (none is null or repeated), so
+    nothing is written; else the rows are numbered and written once.
+    """
+    if dict(rows.dtypes).get("doc_id") in ("int", "bigint"):
+        unclear = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 or doc_id is null")
+        if unclear.isEmpty():
+            return rows.withColumn(ROW, F.col("doc_id").cast("long"))
     return materialize(rows.withColumn(ROW, F.monotonically_increasing_id()))
 
 

@@ -265,13 +265,19 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, longest: int
     return Model(np.frombuffer(bytes(fitted[0]["rows"]), dtype=np.float32), fitted[0]["bias"])
 
 
+def parts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices of 512 rows, so that few texts are Python strings at a time."""
+    for whole in batches:
+        yield from (whole.slice(at, 512) for at in range(0, whole.num_rows, 512))
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id and the score of each whole text; no shuffle."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(held.value)
-        for batch in batches:
+        for batch in parts(batches):
             x = scorer.score_all([t or "" for t in batch.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.float64())], names=["doc_id", "score"])
 
@@ -286,7 +292,7 @@ def reject(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) ->
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(held.value)
-        for batch in batches:
+        for batch in parts(batches):
             keep = [x < threshold for x in scorer.score_all([t or "" for t in batch.column(at).to_pylist()])]
             yield batch.filter(pa.array(keep, pa.bool_()))
 

@@ -6,9 +6,11 @@ shingles of ``WORDS`` words (lower case, split at white space; a shorter text
 is one shingle), each a 64-bit hash.  Two sets of similarity ``LEAST`` or more
 share one of the first n - ceil(LEAST n) + 1 hashes of either in any common
 order, so texts that share none of these prefixes are no pair, and all others
-are candidates, verified on whole sets.  The order puts hashes that are
-frequent in a sample last, which keeps posting lists short and, as any order
-will do, loses nothing.
+are candidates.  How many hashes of each set fall into each of ``CELLS`` cells
+gives an upper bound of what two sets share, which ends most candidates; the
+rest are verified on whole sets.  The order puts hashes that are frequent in a
+sample last, which keeps posting lists short and, as any order will do, loses
+nothing.
 
 Candidates are met in posting lists, in rounds.  All pairs of a list of at
 most ``LIST_ROWS`` texts are formed.  In a longer list all are compared with
@@ -29,7 +31,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 from fractions import Fraction
-from itertools import islice
+from itertools import accumulate, islice
 from math import ceil
 
 import numpy as np
@@ -46,6 +48,8 @@ LEAST = Fraction(4, 5)
 SEED = 42
 #: Longest list whose pairs are formed at once.
 LIST_ROWS = 64
+#: Cells whose counts bound what two sets share; 2 bytes each and text.
+CELLS = 256
 #: About how many texts are sampled for frequent hashes, in how many of them a hash is frequent, and how many hashes are taken at most.
 SAMPLE, FREQUENT, MOST = 5000, 5, 50_000
 
@@ -53,9 +57,12 @@ SAMPLE, FREQUENT, MOST = 5000, 5, 50_000
 def shingles(data: bytes, words: int = WORDS) -> np.ndarray:
     """The set of a text's shingles as sorted hashes."""
     parts = data.lower().split()
-    spans = [b" ".join(parts[i : i + words]) for i in range(max(1, len(parts) - words + 1))] if parts else []
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.fromiter((digest(x, SEED) for x in spans), dtype=np.uint64, count=len(spans)).view(np.int64))
+    joined, digest = b" ".join(parts), xxhash.xxh64_intdigest
+    ends = list(accumulate([len(p) + 1 for p in parts]))
+    if len(parts) <= words:
+        return np.array([digest(joined, SEED)] if parts else [], dtype=np.uint64).view(np.int64)
+    spans = zip([0, *ends], ends[words - 1 :], strict=False)
+    return np.unique(np.array([digest(joined[a : b - 1], SEED) for a, b in spans], dtype=np.uint64).view(np.int64))
 
 
 def prefix_size(n: int) -> int:
@@ -89,15 +96,16 @@ def with_sets(rows: DataFrame, words: int, columns: dict[str, pa.DataType], sche
 
 
 def prefixes(rows: DataFrame, words: int = WORDS) -> DataFrame:
-    """node (the row's number), the size of its set and the prefix of that."""
+    """node (the row's number), the size of its set, the prefix of that, and how many of its hashes are in each cell."""
     last = frequent(rows, words)
 
-    def made(x: np.ndarray) -> tuple[int, np.ndarray]:
+    def made(x: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
         late = np.isin(x, last)
-        return len(x), np.concatenate([x[~late], x[late]])[: prefix_size(len(x))]
+        cells = np.bincount(x & (CELLS - 1), minlength=CELLS).astype(np.int32)
+        return len(x), np.concatenate([x[~late], x[late]])[: prefix_size(len(x))], cells
 
-    columns = {"node": pa.int64(), "size": pa.int64(), "prefix": pa.list_(pa.int64())}
-    return with_sets(rows, words, columns, "node bigint, size bigint, prefix array<bigint>", made)
+    columns = {"node": pa.int64(), "size": pa.int64(), "prefix": pa.list_(pa.int64()), "cells": pa.list_(pa.int32())}
+    return with_sets(rows, words, columns, "node bigint, size bigint, prefix array<bigint>, cells array<int>", made)
 
 
 def sets_of(rows: DataFrame, words: int = WORDS) -> DataFrame:
@@ -105,11 +113,22 @@ def sets_of(rows: DataFrame, words: int = WORDS) -> DataFrame:
     return with_sets(rows, words, {"node": pa.int64(), "set": pa.list_(pa.int64())}, "node bigint, set array<bigint>", lambda x: (x,))
 
 
-def verified(rows: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
-    """Those of the pairs of nodes (a, b) that are near-duplicates; only their texts are hashed again."""
-    pairs = materialize(pairs)
-    nodes = pairs.select(F.col("a").alias(ROW)).union(pairs.select("b")).distinct()
-    sets = materialize(sets_of(by_number(rows, nodes, "left_semi"), words))
+def nodes_of(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias(ROW)).union(pairs.select("b")).distinct()
+
+
+def within_bound(made: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Those of the pairs of nodes (a, b) whose cells let them share enough."""
+    cells = by_number(made.select(F.col("node").alias(ROW), "size", "cells"), nodes_of(pairs), "left_semi")
+    met = pairs.join(cells.toDF("a", "a_size", "x"), "a").join(cells.toDF("b", "b_size", "y"), "b")
+    most = F.aggregate(F.zip_with("x", "y", lambda x, y: F.least(x, y)), F.lit(0), lambda s, n: s + n)
+    return met.filter(most * (LEAST.denominator + LEAST.numerator) >= LEAST.numerator * (F.col("a_size") + F.col("b_size"))).select("a", "b")
+
+
+def verified(rows: DataFrame, made: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
+    """Those of the pairs of nodes (a, b) that are near-duplicates; only texts within the bound are hashed again."""
+    pairs = materialize(within_bound(made, materialize(pairs)))
+    sets = materialize(sets_of(by_number(rows, nodes_of(pairs), "left_semi"), words))
     both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").withColumn("n", F.size(F.array_intersect("x", "y")))
     # n / union >= LEAST, in whole numbers
     return materialize(both.filter(F.col("n") * (LEAST.denominator + LEAST.numerator) >= LEAST.numerator * (F.size("x") + F.size("y"))).select("a", "b"))
@@ -156,7 +175,7 @@ def copies(rows: DataFrame, words: int = WORDS) -> DataFrame:
     while True:
         short, long = members.filter(F.col("n") <= LIST_ROWS), members.filter(F.col("n") > LIST_ROWS)
         stars = long.filter("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-        edges = verified(rows, candidates(short, long).unionByName(stars).distinct(), words)
+        edges = verified(rows, made, candidates(short, long).unionByName(stars).distinct(), words)
         found = not edges.isEmpty()
         if found:
             gone = materialize(gone.unionByName(losers(edges, ids)))
@@ -164,7 +183,7 @@ def copies(rows: DataFrame, words: int = WORDS) -> DataFrame:
             break
         rest = long.filter("node != pivot").select("h", "node", "size").join(gone, "node", "left_anti")
         if not found:
-            edges = verified(rows, candidates(rest), words)
+            edges = verified(rows, made, candidates(rest), words)
             if not edges.isEmpty():
                 gone = materialize(gone.unionByName(losers(edges, ids)))
             break

@@ -32,6 +32,7 @@ def test_text_functions(spark):
     assert one(spark, tx.duration_seconds(lit("250ms"))) == 0.25 and one(spark, tx.duration_seconds(lit("2 m"))) == 120.0 and one(spark, tx.duration_seconds(lit("x"))) is None
     assert one(spark, tx.retry_after(lit("Please try again in 1.5s."))) == 1.5
     assert one(spark, tx.response_text(lit('{"choices": [{"message": {"content": "hi"}}]}'))) == "hi"
+    assert one(spark, tx.response_text(lit('{"output": [{"type": "reasoning"}, {"content": [{"text": "a"}, {"x": 1}, {"text": "b"}]}, {"content": [{"text": "c"}]}]}'))) == "abc"
     assert one(spark, tx.argmax(F.array(lit(0.2), lit(0.4), lit(0.4)))) == 1
     f = tx.pair_features(lit("It has 3 dogs"), lit("It does not have 4 dogs"))
     got = spark.range(1).select(*[c.alias(n) for n, c in f.items()]).first()

@@ -92,6 +92,10 @@ def test_parsing_generated_rules():
     assert an.unique_name("lf_a", taken, "t1") == "lf_a_t1_2"
     out = an.prefix_helpers("K = 3\ndef h(x):\n    return x + K\ndef lf_q(ex):\n    return h(1)\n", "b0")
     assert "b0_h(1)" in out and "b0_K" in out and "def lf_q" in out
+    block = "import re\né = 'K'; K = 1  # K\n@staticmethod\ndef h(x, K=K):\n    global N\n    N = 2\n    return x.K + K\ndef lf_q(x):\n    h = 3\n    return h + N + len(f'{é}') + [K for K in x][0]\n"
+    want = "import re\nb0_é = 'K'; b0_K = 1  # K\n@staticmethod\ndef b0_h(x, K=b0_K):\n    global b0_N\n    b0_N = 2\n    return x.K + K\ndef lf_q(x):\n    h = 3\n    return h + b0_N + len(f'{b0_é}') + [K for K in x][0]\n"
+    assert an.prefix_helpers(block, "b0") == want and an.prefix_helpers("def broken(:", "b0") == "def broken(:"
+    assert an.abstain_literals("return - 1 if x == -1 else -1.5\nreturn -1.5\nif y != -10: return -1") == "return ABSTAIN if x == ABSTAIN else -1.5\nreturn -1.5\nif y != -10: return ABSTAIN"
     with pytest.raises(PermissionError):
         an.source_rule("lf_a", "def lf_a(ex): return 1", ["text"])
 

@@ -91,6 +91,7 @@ def with_sets(rows: DataFrame, words: int, columns: dict[str, pa.DataType], sche
         found = each(batches)
         while part := list(islice(found, 256)):
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part, strict=True), columns.values(), strict=True)], names=list(columns))
+        pa.default_memory_pool().release_unused()  # a worker that waits for its next task holds no free memory
 
     return rows.select(ROW, F.encode("text", "UTF-8").alias("data")).mapInArrow(run, schema)
 

@@ -53,8 +53,8 @@ RARE = 4
 SHRINK = 4.0
 SEED = 7
 THRESHOLD = 0.7
-CACHE = 300_000
-GROUP = 1_000_000
+CACHE = 100_000
+GROUP = 400_000
 
 _JUNK = re.compile(r"[^\w\n]+|_+")
 _LONGEST_WORD = 64
@@ -256,6 +256,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, longest: int
         rows = sorted((r for b in batches for r in b.to_pylist()), key=lambda r: r["doc_id"])
         if rows:
             model = fit([r["text"] for r in rows], [r["toxic"] for r in rows])
+            del rows
+            pa.default_memory_pool().release_unused()
             yield pa.RecordBatch.from_arrays([pa.array([model.rows.tobytes()]), pa.array([model.bias])], names=["rows", "bias"])
 
     # one task, as the sample is bounded by the parameters; the model that comes back has BUCKETS floats
@@ -269,6 +271,7 @@ def parts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Slices of 512 rows, so that few texts are Python strings at a time."""
     for whole in batches:
         yield from (whole.slice(at, 512) for at in range(0, whole.num_rows, 512))
+    pa.default_memory_pool().release_unused()  # a worker that waits for its next task holds no free memory
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

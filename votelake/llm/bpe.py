@@ -59,7 +59,8 @@ def byte_alphabet() -> dict[str, int]:
 class Codec:
     """Encoder and decoder of one vocabulary file."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache: int = 0):
+        self.cache = cache or CACHE
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         back = byte_alphabet()
@@ -133,7 +134,7 @@ class Codec:
             found = ids, ",".join([self.decimal[i] for i in ids])
             if len(raw) > LONG:
                 return found
-        if len(self.known) >= CACHE:
+        if len(self.known) >= self.cache:
             self.older, self.known = self.known, {}
         self.known[w] = found
         return found
@@ -154,7 +155,7 @@ class Codec:
         word = self.word
         words = self.words.findall(text)
         known = self.known
-        if len(known) + len(words) < CACHE:
+        if len(known) + len(words) < self.cache:
             get = known.get
             return [get(w) or word(w) for w in words]
         return [self.known.get(w) or word(w) for w in words]
@@ -167,14 +168,14 @@ class Codec:
 
 
 @functools.lru_cache(maxsize=2)
-def codec(path: str) -> Codec:
+def codec(path: str, cache: int = 0) -> Codec:
     """A worker keeps the codecs that it has used."""
-    return Codec(path)
+    return Codec(path, cache)
 
 
-def digest_batches(path: str):
+def digest_batches(path: str, cache: int = 0):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path or vocabulary_path())
+        c = codec(path or vocabulary_path(), cache)
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
@@ -223,9 +224,13 @@ def decode(tokens: DataFrame, path: str = "") -> DataFrame:
     return tokens.select("doc_id", "ids").mapInArrow(decode_batches(path), "doc_id bigint, text string")
 
 
-def round_trip(docs: DataFrame, path: str = "", text: str = "text") -> DataFrame:
-    """Token count and digests of the ids and of the text decoded from them; no shuffle."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text)).mapInArrow(digest_batches(path), SCHEMA)
+def round_trip(docs: DataFrame, path: str = "", text: str = "text", cache: int = 0) -> DataFrame:
+    """Token count and digests of the ids and of the text decoded from them; no shuffle.
+
+    ``cache`` is the words in each half of a worker's table (0: ``CACHE``), for
+    workers that hold other tables, too; results do not depend on it.
+    """
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text)).mapInArrow(digest_batches(path, cache), SCHEMA)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -55,7 +55,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of the ids and of the text decoded from them; a null text has no tokens."""
-    return bpe.round_trip(docs)
+    return bpe.round_trip(docs, cache=80_000)  # workers keep the tables of the stages before, too
 
 
 STAGES = [

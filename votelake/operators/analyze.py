@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from votelake.functions import text as tx
 from votelake.operators.aggregate import counts
 from votelake.operators.metrics import ratio
+from votelake.operators.sampling import order_hash
 from votelake.schema import ABSTAIN
 
 
@@ -110,7 +113,7 @@ def worst_annotators(stats: DataFrame, votes: DataFrame, k: int = 10) -> DataFra
 
 def error_samples(stats: DataFrame, k: int = 20, seed: int = 42) -> DataFrame:
     """k misclassified and k conflicting rows in an order by hash."""
-    e = errors(stats).select("*", F.xxhash64("id", F.lit(seed)).alias("h"))
+    e = errors(stats).select("*", order_hash(F.col("id"), seed).alias("h"))
     parts = [e.filter(c).withColumn("kind", F.lit(c)).orderBy("h", "id").limit(k) for c in ("misclassified", "conflict")]
     return parts[0].unionByName(parts[1]).drop("h")
 
@@ -192,17 +195,46 @@ def weight_mass(weights: DataFrame) -> DataFrame:
     return by_depth.unionByName(fights)
 
 
-def quantiles(df: DataFrame, value: str, qs: list[float]) -> DataFrame:
-    """Nearest-rank quantiles at round-half-even(q * (n - 1)); no single-task sort.
+def _at_ranks(df: DataFrame, value: str, wanted: Callable[[Column], Column]) -> DataFrame:
+    """(total, r, value): the values at the ranks, from 0, that ``wanted`` gives as an array for the number of rows.
 
-    Ranks are found from counts of distinct values, which are grouped first.
+    Equal values are counted first.  Bounds from a sketch cut the distinct values
+    into ranges; totals of ranges say which one holds a rank, and only those
+    ranges are ordered, each by itself.  The bounds steer the work, not the result.
     """
-    distinct = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("n"))
-    run = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = distinct.withColumn("hi", F.sum("n").over(run)).withColumn("total", F.sum("n").over(Window.partitionBy()))
-    wanted = F.explode(F.array(*[F.lit(float(q)) for q in qs])).alias("q")
-    each = ranked.select("*", wanted).withColumn("at", F.bround(F.col("q") * (F.col("total") - 1)).cast("long"))
-    return each.filter((F.col("at") < F.col("hi")) & (F.col("at") >= F.col("hi") - F.col("n"))).select("q", F.col(value).alias("value"))
+    distinct = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    cuts = distinct.agg(F.percentile_approx("v", [i / 256 for i in range(1, 256)], 10_000).alias("cuts")).withColumn("__k", F.lit(1))
+    # one row of at most 255 bounds
+    placed = distinct.withColumn("__k", F.lit(1)).join(F.broadcast(cuts), "__k").select("v", "n", F.size(F.filter("cuts", lambda c: c < F.col("v"))).alias("g"))
+    ranges = placed.groupBy("g").agg(F.sum("n").alias("m"))
+    # at most 256 rows
+    ahead = ranges.withColumn("before", F.sum("m").over(Window.orderBy("g").rowsBetween(Window.unboundedPreceding, -1))).withColumn("total", F.sum("m").over(Window.partitionBy()))
+    holds = ahead.select("g", "total", F.coalesce("before", F.lit(0)).alias("before"), "m").select("*", F.explode(F.array_distinct(wanted(F.col("total")))).alias("r")).filter((F.col("r") >= F.col("before")) & (F.col("r") < F.col("before") + F.col("m")))
+    run = Window.partitionBy("g").orderBy("v")
+    needed = placed.join(F.broadcast(holds.select("g").distinct()), "g", "left_semi").withColumn("hi", F.sum("n").over(run))
+    met = needed.join(F.broadcast(holds), "g").withColumn("hi", F.col("hi") + F.col("before"))
+    return met.filter((F.col("r") < F.col("hi")) & (F.col("r") >= F.col("hi") - F.col("n"))).select("total", "r", F.col("v").alias("value"))
+
+
+def quantiles(df: DataFrame, value: str, qs: list[float]) -> DataFrame:
+    """(q, value): nearest-rank quantiles at round-half-even(q * (n - 1))."""
+    at = lambda q, n: F.bround(q * (n - 1)).cast("long")
+    all_qs = F.array(*[F.lit(float(q)) for q in qs])
+    found = _at_ranks(df, value, lambda n: F.transform(all_qs, lambda q: at(q, n)))
+    return found.select("*", F.explode(all_qs).alias("q")).filter(at(F.col("q"), F.col("total")) == F.col("r")).select("q", "value")
+
+
+def interpolated(df: DataFrame, value: str, qs: list[float]) -> DataFrame:
+    """One row, q: an array of exact quantiles, linear between the two nearest ranks."""
+    at = [F.lit(float(q)) * (F.col("total") - 1) for q in qs]
+    found = _at_ranks(df, value, lambda n: F.flatten(F.array(*[F.array(F.floor(F.lit(float(q)) * (n - 1)), F.ceil(F.lit(float(q)) * (n - 1))) for q in qs])))
+    one = found.groupBy("total").agg(F.map_from_entries(F.collect_list(F.struct("r", "value"))).alias("m"))
+
+    def between(x: Column) -> Column:
+        low, high = F.element_at("m", F.floor(x)), F.element_at("m", F.ceil(x))
+        return low + (high - low) * (x - F.floor(x))
+
+    return one.select(F.array(*[between(x) for x in at]).alias("q"))
 
 
 def improvement_targets(examples: DataFrame, stats: DataFrame, weights: DataFrame | None = None) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import itertools
 
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import CountVectorizerModel, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,21 +20,23 @@ TEMPERATURES = (0.5, 0.7, 0.85, 1.0, 1.15, 1.3, 1.5, 2.0, 3.0)
 
 
 def one_hot(examples: DataFrame, votes: DataFrame, pool: list[str], n_classes: int, abstain_slot: bool = False) -> DataFrame:
-    """features: sparse one-hot votes at lf_index * width + slot; rows without votes are zero (or all abstain)."""
-    width = n_classes + int(abstain_slot)
-    index = {n: i for i, n in enumerate(sorted(pool))}
-    table = F.create_map(*itertools.chain.from_iterable((F.lit(n), F.lit(i)) for n, i in index.items()))
-    fired = votes.filter(F.col("vote") < n_classes).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct(F.element_at(table, F.col("lf")).alias("k"), "vote"))).alias("m"))
-    size = len(index) * width
-    rows = examples.join(fired, "id", "left")
-
-    def cell(i):  # noqa: ANN001, ANN202
-        lf, slot = F.floor(i / width).cast("int"), (i % width).cast("int")
-        got = F.element_at(F.coalesce("m", F.create_map().cast("map<int,int>")), lf)
-        wanted = F.when(slot == 0, got.isNull()).otherwise(got == slot - 1) if abstain_slot else got == slot
-        return F.coalesce(wanted, F.lit(False)).cast("double")
-
-    return rows.withColumn("features", array_to_vector(F.transform(F.sequence(F.lit(0), F.lit(size - 1)), cell))).drop("m")
+    """features: sparse one-hot votes at lf_index * width + slot; rows without votes are zero (or all abstain).
+
+    Votes are words of a fixed vocabulary, so a row costs what it has votes;
+    with ``abstain_slot`` the words of abstains are those of the pool that did not vote.
+    """
+    slots = range(-1, n_classes) if abstain_slot else range(n_classes)
+    names = sorted(pool)
+    words = [f"{n}={v}" for n in names for v in slots]
+    cast = votes.filter((F.col("vote") < n_classes) & F.col("lf").isin(names))
+    fired = cast.groupBy("id").agg(F.collect_set(F.concat_ws("=", "lf", F.col("vote").cast("string"))).alias("__w"), F.collect_set("lf").alias("__lf"))
+    none = F.array().cast("array<string>")
+    rows = examples.join(fired, "id", "left").withColumn("__w", F.coalesce("__w", none))
+    if abstain_slot:
+        silent = F.array_except(F.array(*[F.lit(n) for n in names]), F.coalesce("__lf", none))
+        rows = rows.withColumn("__w", F.concat("__w", F.transform(silent, lambda n: F.concat(n, F.lit("=-1")))))
+    model = CountVectorizerModel.from_vocabulary(words, inputCol="__w", outputCol="features", minTF=1.0)
+    return model.setBinary(True).transform(rows).drop("__w", "__lf")
 
 
 def annotator_precision(examples: DataFrame, votes: DataFrame) -> DataFrame:

@@ -88,7 +88,8 @@ def error_top_lfs(spark, d):
     return az.worst_annotators(s, v)
 
 
-@query()
+@query(f"""WITH {tk.STATS_SQL}, e AS (SELECT id, split, gold, label, coalesce(gold IS NOT NULL AND label <> -1 AND label <> gold, false) AS misclassified, disagree AS conflict, {HASH} AS h FROM st)
+(SELECT id, split, gold, label, misclassified, conflict, 'misclassified' AS kind FROM e WHERE misclassified ORDER BY h, id LIMIT 20) UNION ALL (SELECT id, split, gold, label, misclassified, conflict, 'conflict' FROM e WHERE conflict ORDER BY h, id LIMIT 20)""")
 def error_samples(spark, d):
     return az.error_samples(stats_of(spark, d)[2])
 
@@ -306,8 +307,8 @@ def _assigned(spark, d):
     ex, v, s, w = _weights(spark, d)
     w = w.withColumn("w", six("w"))
     tokens = ex.select("id", tx.tokens(F.col("text")).alias("t"))
-    centers = sl.top_k(w.select("id", "w"), "w", 12).join(tokens, "id").select(F.col("id").alias("center"), "rank", F.col("t").alias("c_t"))
-    return si.nearest_center(tokens, centers, tx.jaccard(F.col("t"), F.col("c_t"))), w
+    centers = sl.top_k(w.select("id", "w"), "w", 12).join(tokens, "id").select(F.col("id").alias("center"), "rank", "t")
+    return si.nearest_center(tokens, centers, lambda c: tx.jaccard(F.col("t"), c["t"])), w
 
 
 @query(f"WITH {_CENTERS} SELECT id, center, round(sim, 6) AS sim FROM near")
@@ -430,6 +431,17 @@ def rank_split(spark, d):
     return sm.rank_split(tk.lang4(spark, d).select("id"), val_cap=50)
 
 
+@query(f"""WITH {tk.EX_SQL}, r AS (SELECT id, row_number() OVER (ORDER BY {HASH}, id) AS k, count(*) OVER () AS n FROM ex), s AS (SELECT id, k, n, CASE WHEN k <= floor(0.8::DOUBLE * n) THEN 'train' WHEN k <= floor(0.8::DOUBLE * n) + floor(0.1::DOUBLE * n) THEN 'val' ELSE 'test' END AS split FROM r)
+SELECT id, split FROM s WHERE split <> 'val' OR k <= floor(0.8::DOUBLE * n) + 50""")
+def exact_split(spark, d):
+    return sm.exact_split(tk.lang4(spark, d).select("id"), val_cap=50)
+
+
+@query(f"WITH {tk.EX_SQL}, r AS (SELECT id, gold, {HASH} AS h, row_number() OVER (PARTITION BY gold ORDER BY {HASH}, id) AS k FROM ex WHERE gold IS NOT NULL) SELECT id, gold FROM r WHERE k <= 25 ORDER BY h, id LIMIT 102")
+def stratified_clean(spark, d):
+    return sm.stratified_clean(tk.lang4(spark, d).select("id", "gold"), 102, C)
+
+
 @query(f"WITH {tk.EX_SQL} SELECT id, gold FROM ex WHERE split = 'val' ORDER BY id LIMIT 50")
 def first_rows(spark, d):
     return sm.first_n(tk.lang4(spark, d).filter("split = 'val'").select("id", "gold"), 50, "id")

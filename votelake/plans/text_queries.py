@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from votelake.functions import text as tx
+from votelake.operators import analyze as az
 from votelake.operators import sampling as sm
 from votelake.operators import similarity as si
 from votelake.plans import tasks as tk
@@ -79,7 +80,7 @@ def json_props(spark, d):
 SELECT vec_id AS id, CASE WHEN sim < a THEN 0 WHEN sim < b THEN 1 WHEN sim < c THEN 2 ELSE 3 END AS bin FROM v, q""")
 def quartile_bins(spark, d):
     e = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("id"), tx.dot(F.col("embedding"), F.array_repeat(F.lit(0.125), 64)).alias("sim"))
-    q = e.agg(F.percentile("sim", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    q = az.interpolated(e, "sim", [0.25, 0.5, 0.75])
     # one row of three numbers
     met = e.withColumn("k", F.lit(1)).join(F.broadcast(q.withColumn("k", F.lit(1))), "k")
     cut = F.when(F.col("sim") < F.col("q")[0], 0).when(F.col("sim") < F.col("q")[1], 1).when(F.col("sim") < F.col("q")[2], 2).otherwise(3)
@@ -148,7 +149,7 @@ _TFIDF = f"""WITH {_TOK}, e AS (SELECT id, unnest(t) AS w FROM tok), df AS (SELE
 @query(_TFIDF)
 def tfidf_cosine(spark, d):
     docs = _tokens(spark, d)
-    return si.tfidf_cosine(si.tfidf_weights(docs), _neighbours(docs)).withColumn("cosine", six("cosine"))
+    return si.tfidf_cosine(si.tfidf_entries(docs), _neighbours(docs)).withColumn("cosine", six("cosine"))
 
 
 @query("""WITH q AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT q.vec_id AS query, e.vec_id AS id, list_reduce(list_prepend(0.0::DOUBLE, list_transform(list_zip(q.embedding, e.embedding), lambda z: cast(z[1] AS DOUBLE) * cast(z[2] AS DOUBLE))), lambda a, b: a + b) AS sim FROM q JOIN embeddings e ON e.vec_id <> q.vec_id),

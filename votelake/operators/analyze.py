@@ -294,6 +294,29 @@ def clusters(assigned: DataFrame, weights: DataFrame, k: int = 6) -> tuple[DataF
     return summary, top
 
 
+def feature_profile(examples: DataFrame, bool_features: tuple[str, ...]) -> DataFrame:
+    """profile: a struct of the flags (null is false), the length bucket, the number of words (null is 0) and of exclamation marks."""
+    flags = [F.coalesce(f, F.lit(False)).alias(f) for f in bool_features]
+    marks = F.length(F.regexp_replace(F.coalesce("text", F.lit("")), "[^!]", ""))
+    words = F.coalesce("num_words", F.lit(0))
+    return examples.withColumn("profile", F.struct(*flags, tx.length_bucket(words).alias("text_length"), words.alias("num_words"), marks.alias("num_exclamation")))
+
+
+def cluster_keywords(assigned: DataFrame, tokens: DataFrame, k: int = 10) -> DataFrame:
+    """Distinctive words of each cluster against all rows: group is the centre; tokens(id, tokens)."""
+    grouped = assigned.select("id", F.col("center").alias("group")).join(tokens, "id")
+    return keywords(grouped.select("group", "tokens"), tokens.select("tokens"), k)
+
+
+def memory_summary(history: DataFrame, coverage: DataFrame, points: int = 5) -> tuple[DataFrame, DataFrame]:
+    """Difficulty of each class with its standstill, and the last coverage points; history(iter, class, f1), coverage(iter, coverage).
+
+    difficulty is 1 - the best F1, 3 places.
+    """
+    s = stagnant(history)
+    return s.withColumn("difficulty", F.round(1 - F.coalesce("best_f1", F.lit(0.0)), 3)), coverage.orderBy(F.desc("iter")).limit(points)
+
+
 def carry_over(flagged: DataFrame) -> DataFrame:
     """Number of iterations in which an id was flagged; flagged(iter, id)."""
     return flagged.select("iter", "id").distinct().groupBy("id").agg(F.count(F.lit(1)).alias("age"))

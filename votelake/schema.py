@@ -39,6 +39,12 @@ class Task:
     bool_features: tuple[str, ...] = ()
     guardrails: dict[int, str] = field(default_factory=dict)
     description: str = ""
+    pairs: bool = False
+
+    @property
+    def family(self) -> str:
+        """verification where a claim is checked against evidence, else classification."""
+        return "verification" if self.pairs else "classification"
 
     @property
     def n_classes(self) -> int:
@@ -58,7 +64,7 @@ TASKS = {
     t.name: t
     for t in (
         Task("chemprot", ("Part of", "Regulator", "Upregulator", "Downregulator", "Agonist", "Antagonist", "Modulator", "Cofactor", "Substrate/Product", "NOT"), description="relation between a chemical and a protein"),
-        Task("fever", ("Supports", "Refutes", "NotEnoughInfo"), bool_features=("has_url", "has_email", "negation_mismatch", "numbers_mismatch"), description="does evidence support a claim"),
+        Task("fever", ("Supports", "Refutes", "NotEnoughInfo"), bool_features=("has_url", "has_email", "negation_mismatch", "numbers_mismatch"), description="does evidence support a claim", pairs=True),
         Task("pubmed", tuple("ABCDEFGHIJLMNZ"), multi_label=True, description="top MeSH branches of an abstract"),
         Task("lang4", ("de", "en", "es", "fr"), bool_features=("has_url", "has_email", "has_digit", "has_pipe"), description="language of a document"),
         Task("quality", ("junk", "good"), bool_features=("has_url", "has_email", "has_digit", "has_pipe"), description="quality of a document, sparsely labelled"),

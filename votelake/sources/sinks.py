@@ -72,18 +72,72 @@ def write_summary(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
+def _write_text(spark: SparkSession, path: str, text: str) -> None:
+    """One file at ``path``, replaced; for small texts of the driver."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p, True)
+    try:
+        out.write(bytearray(text.encode("utf-8")))
+    finally:
+        out.close()
+
+
+def pool_source(blocks: list[str], names: list[str], comment: str = "") -> str:
+    """Source of a pool module: each block once, in order, then the ANNOTATORS list of the names that begin with lf_."""
+    kept = dict.fromkeys(b.rstrip() for b in blocks if b and b.strip())
+    listed = "".join(f"    {n},\n" for n in names if n.startswith("lf_"))
+    head = [f"# {line}" for line in comment.splitlines()] + ["ABSTAIN = -1"]
+    return "\n\n".join(["\n".join(head), *kept, f"ANNOTATORS = [\n{listed}]\n"])
+
+
+def write_pool(spark: SparkSession, blocks: list[str], names: list[str], path: str, comment: str = "") -> None:
+    _write_text(spark, path, pool_source(blocks, names, comment))
+
+
+def write_embeddings(embedded: DataFrame, path: str, model: str) -> None:
+    """Embedding cache: id as string, split, emb as floats (not normalised) and the model's name."""
+    embedded.select(F.col("id").cast("string").alias("id"), "split", F.col("emb").cast("array<float>").alias("emb"), F.lit(model).alias("model")).write.mode("overwrite").parquet(path)
+
+
+def write_enriched(spark: SparkSession, source: str, target: str, enrich, features: list[str], splits: tuple[str, ...] = ("train", "val", "test"), side: tuple[str, ...] = ("dataset.json", "label_map.json")) -> list[str]:  # noqa: ANN001
+    """Enriched copies of the splits that exist, side files as they are, then a marker that names source and features.
+
+    The marker is written last, so its presence means a whole copy.  Returns the splits written.
+    """
+    done = []
+    for s in splits:
+        if exists(spark, f"{source}/{s}.jsonl"):
+            write_jsonl(enrich(spark.read.json(f"{source}/{s}.jsonl")), f"{target}/{s}.jsonl")
+            done.append(s)
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    for name in side:
+        if exists(spark, f"{source}/{name}"):
+            a, b = hadoop.Path(f"{source}/{name}"), hadoop.Path(f"{target}/{name}")
+            hadoop.FileUtil.copy(a.getFileSystem(conf), a, b.getFileSystem(conf), b, False, True, conf)
+    _write_text(spark, f"{target}/.enriched_features.json", json.dumps({"source": source, "features": features, "splits": done}, indent=1))
+    return done
+
+
 def append_events(events: DataFrame, path: str) -> None:
     """Adds to the event log."""
     events.write.mode("append").json(path)
 
 
 def archive_events(spark: SparkSession, path: str, archive: str, period: int) -> None:
-    """Copies the log to a period's partition, then empties it; a repeated call after a failure writes the same partition."""
-    if not exists(spark, path):
-        return
-    spark.read.json(path).write.mode("overwrite").json(f"{archive}/period={period}")
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    """Moves the log to a period's partition: it is renamed first, so events appended meanwhile start a new log.
+
+    A call after a failure takes up the renamed log of that period; events that
+    came since stay for the next period.
+    """
+    aside = f"{path}.period={period}"
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    fs = hadoop.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    if not exists(spark, aside):
+        if not exists(spark, path):
+            return
+        fs.rename(hadoop.Path(path), hadoop.Path(aside))
+    spark.read.json(aside).write.mode("overwrite").json(f"{archive}/period={period}")
+    fs.delete(hadoop.Path(aside), True)
 
 
 def resume(spark: SparkSession, path: str, build) -> DataFrame:  # noqa: ANN001

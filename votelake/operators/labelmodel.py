@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import CountVectorizerModel, VectorAssembler
@@ -128,6 +129,15 @@ def temperature(proba: DataFrame, examples: DataFrame, fit_split: str = "val", g
 
 # ---------------------------------------------------------------- regressions
 
+#: Fits that run at a time; each is a sequence of short jobs, so the cluster is idle between them.
+AT_ONCE = 8
+
+
+def _side_by_side(f, items: list) -> list:  # noqa: ANN001
+    """f of each item, several at a time, in order; each call starts Spark jobs of its own."""
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        return list(pool.map(f, items))
+
 
 def _weighted(rows: DataFrame, label: str, n_classes: int, balanced: bool) -> tuple[DataFrame, float, list[int]]:
     """Balanced weights n / (k * n_c), their sum, and the classes present."""
@@ -165,11 +175,10 @@ def text_vote_regression(rows: DataFrame, n_classes: int, grid: tuple[float, ...
     k = held.agg(F.max("folds")).first()[0] or 2
     enough = held.count() >= 2 * k
     best_c, best_f1, best_out = 1.0, -1.0, None
+    jobs = [(c, f) for c in grid for f in range(k)] if enough else []
+    models = dict(zip(jobs, _side_by_side(lambda j: fit_logistic(held.filter(F.col("fold") != j[1]), n_classes, j[0]), jobs), strict=True))
     for c in grid if enough else ():
-        parts = []
-        for f in range(k):
-            model = fit_logistic(held.filter(F.col("fold") != f), n_classes, c)
-            parts.append(predict(model, held.filter(F.col("fold") == f), n_classes))
+        parts = [predict(models[c, f], held.filter(F.col("fold") == f), n_classes) for f in range(k)]
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p)
@@ -204,12 +213,16 @@ def multilabel_regression(rows: DataFrame, n_classes: int) -> DataFrame:
 def _one_vs_rest(rows: DataFrame, n_classes: int, make) -> DataFrame:  # noqa: ANN001
     """A binary model a class fitted on val, probabilities normalised over classes."""
     val, out = rows.filter("split = 'val' and gold is not null").cache(), rows
-    for c in range(n_classes):
+
+    def fit(c: int):  # noqa: ANN202
         y = val.withColumn("y", (F.col("gold") == c).cast("double"))
-        if y.select("y").distinct().count() < 2:
+        return make(c).fit(y) if y.select("y").distinct().count() == 2 else None
+
+    for c, model in enumerate(_side_by_side(fit, list(range(n_classes)))):
+        if model is None:
             out = out.withColumn(f"p{c}", F.lit(0.0))
             continue
-        out = make(c).fit(y).transform(out).withColumn(f"p{c}", F.get(vector_to_array("probability"), F.lit(1))).drop("probability", "prediction", "rawPrediction")
+        out = model.transform(out).withColumn(f"p{c}", F.get(vector_to_array("probability"), F.lit(1))).drop("probability", "prediction", "rawPrediction")
     total = sum((F.col(f"p{c}") for c in range(n_classes)), F.lit(0.0))
     return out.select("id", "split", F.array(*[F.when(total > 0, F.col(f"p{c}") / total).otherwise(1.0 / n_classes) for c in range(n_classes)]).alias("proba"))
 

@@ -29,15 +29,15 @@ def _label(proba):
 
 @query()
 def text_vote_lr(spark, d):
-    return _label(lm.text_vote_regression(_features(spark, d)[0].cache(), C, grid=(0.1, 1.0), folds=3))
+    return _label(lm.text_vote_regression(_features(spark, d)[0].cache(), C))
 
 
 @query()
 def embedding_vote_lr(spark, d):
-    """The ten-class embedding task: vectors and two weak votes from single coordinates."""
+    """The ten-class embedding task, from vectors alone."""
     e = spark.read.parquet(f"{d}/embeddings.parquet")
     rows = e.select(F.col("vec_id").alias("id"), tk._split("vec_id").alias("split"), F.col("label").alias("gold"), array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
-    return _label(lm.text_vote_regression(rows, 10, grid=(1.0, 10.0), folds=2))
+    return _label(lm.text_vote_regression(rows.cache(), 10))
 
 
 @query()
@@ -51,12 +51,12 @@ def vote_ensemble(spark, d):
     rows = lm.one_hot(ex.select("id", "split", "gold"), v, POOL, C, abstain_slot=True)
     p = lm.annotator_precision(ex.filter("split = 'val'"), v)
     rows = lm.stack(lm.dense_features(rows, v, p, C, len(POOL)).withColumnRenamed("features", "hot"), ["hot", "dense"]).cache()
-    return _label(lm.ensemble(rows, C, rounds=3, grid=(1.0,), folds=2))
+    return _label(lm.ensemble(rows, C))
 
 
 @query()
 def vote_stacking(spark, d):
-    return _label(lm.stacking(_features(spark, d)[0].cache(), C, folds=2, rounds=3))
+    return _label(lm.stacking(_features(spark, d)[0].cache(), C))
 
 
 @query()
@@ -89,14 +89,14 @@ def model_summary(spark, d):
 def downstream_grid(spark, d):
     ex, v = lang(spark, d)
     weak = ds.confident_rows(ag.majority(ex, v).filter("split = 'train'"), v)
-    return ds.efficiency_grid(ex, weak, C, sizes=(50,))
+    return ds.efficiency_grid(ex, weak, C)
 
 
 @query()
 def self_training(spark, d):
     ex = tk.lang4(spark, d)
     seed = ex.filter("split = 'val'").select("id", F.col("gold").alias("label"), F.lit(1.0).alias("weight"))
-    return ds.self_train(ex, seed, rounds=1).select("id", "split", "label")
+    return ds.self_train(ex, seed).select("id", "split", "label")
 
 
 @query()

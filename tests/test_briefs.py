@@ -166,3 +166,36 @@ def test_nearest_center_without_and_with_too_many(spark):
     many = spark.range(1001).select(F.col("id").alias("center"), F.col("id").alias("rank"), F.array(F.lit("a")).alias("t"))
     with pytest.raises(Exception, match="at most 1000"):
         si.nearest_center(ex, many, jac).collect()
+
+
+def test_evidence_pieces(spark):
+    from votelake.sources.readers import evidence_pieces, flatten_evidence
+
+    values = ['[["Page", 3, " a b "], "bare", ["Page", 4], ["P", 0, "c"]]', "[]", None, '["x", "y"]']
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v string")
+    got = [r[0] for r in rows.orderBy("i").select(flatten_evidence(evidence_pieces(F.col("v")))).collect()]
+    assert got == ["a b  bare c", "", None, "x y"]
+
+
+def test_command_line(spark, tmp_path):
+    from votelake import __main__ as cli
+
+    rows = [(i, ("train", "val", "test")[i % 3], i % 2, ("red apple fruit" if i % 2 else "blue ocean water") + f" w{i}", 4) for i in range(90)]
+    ex = spark.createDataFrame(rows, "id bigint, split string, gold int, text string, num_words int").withColumn("text_lower", F.lower("text"))
+    ex.write.parquet(str(tmp_path / "ex"))
+    go = lambda *a: cli.COMMANDS[a[0]](spark, cli.parser().parse_args(list(a)))
+    go("run", "--examples", str(tmp_path / "ex"), "--task", "quality", "--iterations", "1", "--per-round", "1", "--out", str(tmp_path / "run"))
+    assert spark.read.parquet(str(tmp_path / "run/history")).count() == 2
+    votes = str(tmp_path / "run/votes")
+    go("aggregate", "--examples", str(tmp_path / "ex"), "--votes", votes, "--task", "quality", "--method", "mv", "--out", str(tmp_path / "labels"))
+    go("evaluate", "--examples", str(tmp_path / "ex"), "--labels", str(tmp_path / "labels"), "--task", "quality", "--out", str(tmp_path / "scores"))
+    assert {r["split"]: r["n_total"] for r in spark.read.parquet(str(tmp_path / "scores/splits")).collect()} == {"train": 30, "val": 30, "test": 30}
+    assert spark.read.parquet(str(tmp_path / "scores/classes")).filter("f1 > 0.9").count() == 6
+    with pytest.raises(KeyError, match="no query"):
+        go("query", "none", "--data", "x", "--out", "y")
+    with pytest.raises(KeyError, match="unknown task"):
+        go("aggregate", "--examples", str(tmp_path / "ex"), "--votes", votes, "--task", "none", "--out", "y")
+    sets = spark.createDataFrame([(1, "val", [0]), (2, "val", [0, 1]), (3, "val", [])], "id bigint, split string, labels array<int>")
+    sets.write.parquet(str(tmp_path / "sets"))
+    go("evaluate", "--examples", str(tmp_path / "sets"), "--labels", str(tmp_path / "sets"), "--task", "qt", "--out", str(tmp_path / "multi"))
+    assert spark.read.parquet(str(tmp_path / "multi/summary")).count() >= 1

@@ -380,7 +380,16 @@ def kill_log(spark, d):
     return ev.kill_log(scored, kept, [("threshold", a), ("gap", b)]).select("lf", "reason")
 
 
-@query()
+def _greedy_sql(limit: float) -> str:
+    """Candidates in name order, each against the pool and those kept before it."""
+    steps = [f"k0 AS (SELECT lf FROM f WHERE lf NOT IN ({', '.join(repr(n) for n in _NEW)}))"]
+    for i, n in enumerate(sorted(_NEW)):
+        near = f"SELECT 1 FROM ov JOIN k{i} p ON (lf_a = '{n}' AND lf_b = p.lf) OR (lf_b = '{n}' AND lf_a = p.lf) WHERE jaccard > {limit}"
+        steps.append(f"k{i + 1} AS (SELECT lf FROM k{i} UNION ALL SELECT lf FROM f WHERE lf = '{n}' AND NOT EXISTS ({near}))")
+    return f"WITH {_OVERLAP}, {', '.join(steps)} SELECT lf FROM k{len(_NEW)} WHERE lf NOT IN (SELECT lf FROM k0)"
+
+
+@query(_greedy_sql(0.8))
 def jaccard_greedy(spark, d):
     v = lang(spark, d)[1]
     new = F.col("lf").isin(*_NEW)

@@ -11,7 +11,7 @@ from votelake.operators import downstream as ds
 from votelake.operators import labelmodel as lm
 from votelake.operators.providers import KeywordMiner
 from votelake.plans import tasks as tk
-from votelake.plans.label_queries import C, lang
+from votelake.plans.label_queries import _NB, C, lang, six
 from votelake.plans.loop import Evolution, Settings
 from votelake.plans.registry import query
 
@@ -99,18 +99,19 @@ def self_training(spark, d):
     return ds.self_train(ex, seed).select("id", "split", "label")
 
 
-@query()
+@query(f"""WITH {_NB}, mj AS (SELECT id, label FROM (WITH {tk.MV_SQL} SELECT id, label FROM mv)), sp AS (SELECT id, class, p FROM nb WHERE split <> 'test' UNION ALL
+  SELECT mj.id, c.class, cast(c.class = mj.label AS INT)::DOUBLE FROM mj JOIN ex USING (id), (SELECT unnest(range({C})) AS class) c WHERE ex.split = 'test' AND mj.label >= 0) SELECT id, cast(class AS INTEGER) AS class, round(p, 6) AS p FROM sp""")
 def soft_label_rows(spark, d):
     ex, v = lang(spark, d)
     nb = lm.naive_bayes(ex, v, POOL, C)
     soft = nb.filter("split <> 'test'").groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("class", "p"))), lambda z: z["p"]).alias("proba"))
-    return ds.soft_rows(ex, soft, ag.majority(ex, v), C)
+    return ds.soft_rows(ex, soft, ag.majority(ex, v), C).withColumn("p", six("p"))
 
 
 @query()
 def evolution_loop(spark, d):
     ex = tk.lang4(spark, d).select("id", "split", "gold", "text", "text_lower", "num_words").cache()
-    run = Evolution(ex, C, KeywordMiner(), Settings(iterations=1, per_round=2))
+    run = Evolution(ex, C, KeywordMiner(), Settings())
     return spark.createDataFrame([(h["iter"], h["accepted"], h["pool"], float(h["macro_f1"])) for h in run.run()], "iter int, accepted boolean, pool int, macro_f1 double")
 
 

@@ -88,8 +88,17 @@ def read_records(spark: SparkSession, path: str, value: str) -> DataFrame:
 
 
 def flatten_evidence(evidence: Column) -> Column:
-    """Third elements of triples joined by a blank, trimmed."""
-    return strip(F.array_join(F.filter(F.transform(evidence, lambda e: F.get(e, F.lit(2))), lambda x: x.isNotNull()), " "))
+    """Third elements of triples, and pieces that are bare strings (arrays of one element), joined by a blank, trimmed.
+
+    A piece of two elements holds no text and is left out.
+    """
+    return strip(F.array_join(F.filter(F.transform(evidence, lambda e: F.when(F.size(e) == 1, F.get(e, F.lit(0))).otherwise(F.get(e, F.lit(2)))), lambda x: x.isNotNull()), " "))
+
+
+def evidence_pieces(value: Column) -> Column:
+    """JSON evidence, whose pieces are strings or arrays, as arrays of strings; a bare string is an array of one."""
+    pieces = F.from_json(value, "array<string>")
+    return F.transform(pieces, lambda p: F.when(p.rlike(r"^\s*\["), F.from_json(p, "array<string>")).otherwise(F.array(p)))
 
 
 def claim_text(claim: Column, evidence: Column, placeholder: str = "(none found)") -> Column:
@@ -247,8 +256,8 @@ def prepare_claims(spark: SparkSession, config: dict) -> DataFrame:
     """Claims with nested evidence lists, as text of both with simple features."""
     from votelake.functions import text as tx
 
-    rows = spark.read.schema("id string, split string, claim string, label int, evidence array<array<string>>").json(config["raw"])
-    ev = flatten_evidence(F.col("evidence"))
+    rows = spark.read.schema("id string, split string, claim string, label int, evidence string").json(config["raw"])
+    ev = flatten_evidence(evidence_pieces(F.col("evidence")))
     out = rows.withColumn("ev", ev).withColumn("text", claim_text(F.col("claim"), F.col("ev")))
     meta = F.struct("claim", F.col("ev").alias("evidence"), tx.normalize(F.col("text")).alias("text_normalized"), F.length("text").alias("num_chars"), tx.num_words(F.col("text")).alias("num_words"), tx.has_url(F.col("text")).alias("has_url"), tx.has_email(F.col("text")).alias("has_email"))
     return out.select("id", "split", "text", F.col("label").alias("true_label"), F.array("label").alias("true_labels"), meta.alias("metadata"))
@@ -256,10 +265,10 @@ def prepare_claims(spark: SparkSession, config: dict) -> DataFrame:
 
 @dataset("pubmed")
 def prepare_topics(spark: SparkSession, config: dict) -> DataFrame:
-    """A CSV with a 0/1 column a topic: detects those columns, makes label sets, splits by rank."""
-    from votelake.operators.sampling import rank_split
+    """A CSV with a 0/1 column a topic: detects those columns, makes label sets, splits 80/10/10 by exact rank."""
+    from votelake.operators.sampling import exact_split
 
     raw = read_zipped_csv(spark, config["raw"]) if config["raw"].endswith(".zip") else spark.read.option("header", True).option("inferSchema", True).csv(config["raw"])
     flags = binary_columns(raw, tuple(config.get("skip", ("id", "pmid"))))
     rows = raw.select(F.xxhash64(text_column(raw)).alias("id"), text_column(raw).alias("text"), columns_to_labels(flags).alias("true_labels"))
-    return rank_split(rows, val_cap=config.get("val_budget"), seed=config.get("seed", 42))
+    return exact_split(rows, val_cap=config.get("val_budget"), seed=config.get("seed", 42))

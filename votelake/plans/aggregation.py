@@ -27,8 +27,10 @@ def normalized(embeddings: DataFrame) -> DataFrame:
     """Embeddings of length 1; zero vectors stay."""
     from votelake.functions.text import dot
 
-    norm = F.sqrt(dot(F.col("emb"), F.col("emb")))
-    return embeddings.withColumn("__n", norm).withColumn("emb", F.when(F.col("__n") > 0, F.transform(F.col("emb").cast("array<double>"), lambda x: x / F.col("__n"))).otherwise(F.col("emb").cast("array<double>"))).drop("__n")
+    emb = F.col("emb").cast("array<double>")
+    # the norm is bound once by an array of one element
+    scaled = F.get(F.transform(F.array(F.sqrt(dot(emb, emb))), lambda n: F.transform(emb, lambda x: F.when(n > 0, x / n).otherwise(x))), F.lit(0))
+    return embeddings.withColumn("emb", scaled)
 
 
 def text_aware(examples: DataFrame, votes: DataFrame, pool: list[str], n_classes: int, embeddings: DataFrame, dim: int, grid: tuple[float, ...] = (0.01, 0.1, 1.0, 10.0), folds: int = 5) -> DataFrame:

@@ -45,7 +45,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from votelake.llm.common import ROW, attach_per_key, ensure_checkpoints, materialize, numbered, without_rows
+from votelake.llm.common import ROW, attach_per_key, ensure_checkpoints, materialize, numbered, shuffled, without_rows
 
 WORDS = 4
 SEED = 42
@@ -154,15 +154,15 @@ def links(distinct: DataFrame) -> DataFrame:
     # most lists hold one; of those that hold two the pair is known from the count
     posting = materialize(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).filter("n > 1"))
     twos = posting.filter("n = 2").select("a", "b")
-    shared = materialize(keyed.join(posting.filter("n > 2").select("key", "n"), "key"))
+    shared = materialize(keyed.join(shuffled(posting.filter("n > 2").select("key", "n")), "key"))
     short = shared.filter(F.col("n") <= LIST_ROWS).select("key", "fp")
     other = short.select("key", F.col("fp").alias("b"))
-    met = twos.unionByName(short.withColumnRenamed("fp", "a").join(other, "key").filter("a < b").select("a", "b"))
+    met = twos.unionByName(short.withColumnRenamed("fp", "a").join(shuffled(other), "key").filter("a < b").select("a", "b"))
     pairs = met.filter(tally(F.col("a"), F.col("b")) >= SHARED).filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= BITS).distinct()
     crowded = materialize(shared.filter(F.col("n") > LIST_ROWS).select("fp").distinct())
     near = crowded.select("fp", F.explode(around(F.col("fp"))).alias("mid"))
     least = near.groupBy("mid").agg(F.min("fp").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("mid", "b")
-    stars = near.join(least, "mid").filter("fp != b").select(F.col("fp").alias("a"), "b").distinct()
+    stars = near.join(shuffled(least), "mid").filter("fp != b").select(F.col("fp").alias("a"), "b").distinct()
     return pairs.unionByName(stars)
 
 
@@ -170,7 +170,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """node and root (the least node reachable) for every node of ``edges(a, b)``.
 
     Large and small stars in turn until nothing changes.  A round groups by
-    node with map-side minima; no neighbour list is ever collected.
+    node with map-side minima; no neighbour list is ever collected, and no
+    table is broadcast, which in each round would go through the driver.
     """
     ensure_checkpoints(edges.sparkSession)
     edges = edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().checkpoint()
@@ -178,9 +179,9 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     for _ in range(most_rounds):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.join(shuffled(low), "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         small = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(small, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
+        small = large.join(shuffled(small), "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
         edges = small.select("e.a", "e.b").filter("a != b").distinct().checkpoint()
         state = edges.agg(F.count(F.lit(1)), F.sum(F.col("a").cast("decimal(38,0)")), F.sum(F.col("b").cast("decimal(38,0)"))).first()
         if state == last:
@@ -199,10 +200,10 @@ def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
     first = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col(ROW).alias("r"))
     counted = materialize(prints.groupBy("fp").agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("rows")))
     roots = components(links(counted.select("fp")))
-    rooted = counted.join(roots, counted["fp"] == roots["node"], "left").select("fp", "first", "rows", F.coalesce("root", "fp").alias("root"))
+    rooted = counted.join(shuffled(roots), counted["fp"] == roots["node"], "left").select("fp", "first", "rows", F.coalesce("root", "fp").alias("root"))
     rooted = materialize(rooted)
     firsts = rooted.groupBy("root").agg(F.min("first").alias("b")).select("root", F.col("b.d").alias("component_id"), F.col("b.r").alias("keep_row"))
-    keyed = materialize(rooted.join(firsts, "root").select(F.col("fp").cast("string").alias("fp"), "component_id", "keep_row", "rows"))
+    keyed = materialize(rooted.join(shuffled(firsts), "root").select(F.col("fp").cast("string").alias("fp"), "component_id", "keep_row", "rows"))
     rows = prints.select("doc_id", ROW, F.col("fp").cast("string").alias("fp"))
     return attach_per_key(rows, keyed, "fp", "rows", F.col(ROW)).select("doc_id", ROW, F.col("fp").cast("long").alias("fp"), "component_id", "keep_row")
 

@@ -1,6 +1,6 @@
 """Tables that grow with the corpus are not broadcast, as each broadcast goes through the driver."""
 
-from votelake.llm import common, simhash
+from votelake.llm import common, similar, simhash
 
 
 def broadcast_joins(spark, run):
@@ -26,3 +26,18 @@ def test_simhash_links_and_components_broadcast_nothing(spark):
     while (new := {x: min(root[y] for y in fps if near(x, y)) for x in fps}) != root:
         root = new
     assert {r["node"]: r["root"] for r in got} == {x: r for x, r in root.items() if sum(near(x, y) for y in fps) > 1}
+
+
+def test_near_copies_broadcast_no_numbers_beyond_the_limit(spark, monkeypatch):
+    texts = [" ".join(f"w{(i * 13 + k) % 400}" for k in range(60)) for i in range(30)]
+    texts += [t + " end" for t in texts[:9]]
+    rows = common.materialize(spark.createDataFrame([(i, t, i) for i, t in enumerate(texts)], f"doc_id bigint, text string, {common.ROW} bigint"))
+    gone = lambda: sorted(r[0] for r in similar.copies(rows).collect())
+    want = gone()
+    assert set(range(30, 39)) <= set(want)
+    monkeypatch.setattr(common, "MOST_NUMBERS", 0)
+    n, got = broadcast_joins(spark, gone)
+    assert n == 0 and got == want
+    listed = rows.filter("doc_id % 3 = 0").select(common.ROW)
+    n, got = broadcast_joins(spark, lambda: common.by_number(rows, listed, "left_anti").select("doc_id").collect())
+    assert n == 0 and {r[0] for r in got} == {i for i in range(39) if i % 3}

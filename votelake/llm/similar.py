@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from votelake.llm.common import ROW, by_number, materialize
+from votelake.llm.common import ROW, by_number, materialize, shuffled
 from votelake.llm.simhash import components
 
 WORDS = 5
@@ -121,7 +121,7 @@ def nodes_of(pairs: DataFrame) -> DataFrame:
 def within_bound(made: DataFrame, pairs: DataFrame) -> DataFrame:
     """Those of the pairs of nodes (a, b) whose cells let them share enough."""
     cells = by_number(made.select(F.col("node").alias(ROW), "size", "cells"), nodes_of(pairs), "left_semi")
-    met = pairs.join(cells.toDF("a", "a_size", "x"), "a").join(cells.toDF("b", "b_size", "y"), "b")
+    met = pairs.join(shuffled(cells.toDF("a", "a_size", "x")), "a").join(shuffled(cells.toDF("b", "b_size", "y")), "b")
     most = F.aggregate(F.zip_with("x", "y", lambda x, y: F.least(x, y)), F.lit(0), lambda s, n: s + n)
     return met.filter(most * (LEAST.denominator + LEAST.numerator) >= LEAST.numerator * (F.col("a_size") + F.col("b_size"))).select("a", "b")
 
@@ -130,7 +130,7 @@ def verified(rows: DataFrame, made: DataFrame, pairs: DataFrame, words: int) ->
     """Those of the pairs of nodes (a, b) that are near-duplicates; only texts within the bound are hashed again."""
     pairs = materialize(within_bound(made, materialize(pairs)))
     sets = materialize(sets_of(by_number(rows, nodes_of(pairs), "left_semi"), words))
-    both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").withColumn("n", F.size(F.array_intersect("x", "y")))
+    both = pairs.join(shuffled(sets.toDF("a", "x")), "a").join(shuffled(sets.toDF("b", "y")), "b").withColumn("n", F.size(F.array_intersect("x", "y")))
     # n / union >= LEAST, in whole numbers
     return materialize(both.filter(F.col("n") * (LEAST.denominator + LEAST.numerator) >= LEAST.numerator * (F.size("x") + F.size("y"))).select("a", "b"))
 
@@ -145,8 +145,8 @@ def candidates(members: DataFrame, long: DataFrame | None = None) -> DataFrame:
     m = members.select("h", "node", "size", F.lit(0).cast("long").alias("more"))
     if long is not None:
         more = long.groupBy("node").agg(F.count(F.lit(1)).alias("more"))
-        m = members.select("h", "node", "size").join(more, "node", "left").select("h", "node", "size", F.coalesce("more", F.lit(0)).alias("more"))
-    met = m.toDF("h", "a", "a_size", "a_more").join(m.toDF("h", "b", "b_size", "b_more"), "h").filter("a < b")
+        m = members.select("h", "node", "size").join(shuffled(more), "node", "left").select("h", "node", "size", F.coalesce("more", F.lit(0)).alias("more"))
+    met = m.toDF("h", "a", "a_size", "a_more").join(shuffled(m.toDF("h", "b", "b_size", "b_more")), "h").filter("a < b")
     met = met.filter(F.least("a_size", "b_size") * down >= F.greatest("a_size", "b_size") * up)
     met = met.groupBy("a", "b").agg(*[F.first(c).alias(c) for c in ("a_size", "b_size", "a_more", "b_more")], F.count(F.lit(1)).alias("n"))
     behind = F.greatest(*[F.ceil(F.col(c) * up / down) - 1 for c in ("a_size", "b_size")]) + F.least("a_more", "b_more")
@@ -156,15 +156,15 @@ def candidates(members: DataFrame, long: DataFrame | None = None) -> DataFrame:
 def with_lists(members: DataFrame) -> DataFrame:
     """Members (h, node, size) of lists of two or more, with the list's length n and its pivot."""
     lists = materialize(members.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("pivot")).filter("n > 1"))
-    return materialize(members.join(lists, "h").select("h", "node", "size", "n", "pivot"))
+    return materialize(members.join(shuffled(lists), "h").select("h", "node", "size", "n", "pivot"))
 
 
 def losers(edges: DataFrame, ids: DataFrame) -> DataFrame:
     """The nodes of each component of ``edges`` but the one that stays."""
-    found = materialize(components(edges).join(ids, "node"))
+    found = materialize(components(edges).join(shuffled(ids), "node"))
     rank = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("node").alias("r"))
     stays = found.groupBy("root").agg(F.min(rank)["r"].alias("stays"))
-    return materialize(found.join(stays, "root").filter("node != stays").select("node"))
+    return materialize(found.join(shuffled(stays), "root").filter("node != stays").select("node"))
 
 
 def copies(rows: DataFrame, words: int = WORDS) -> DataFrame:
@@ -182,7 +182,7 @@ def copies(rows: DataFrame, words: int = WORDS) -> DataFrame:
             gone = materialize(gone.unionByName(losers(edges, ids)))
         if long.isEmpty():
             break
-        rest = long.filter("node != pivot").select("h", "node", "size").join(gone, "node", "left_anti")
+        rest = long.filter("node != pivot").select("h", "node", "size").join(shuffled(gone), "node", "left_anti")
         if not found:
             edges = verified(rows, made, candidates(rest), words)
             if not edges.isEmpty():

@@ -1,6 +1,8 @@
-"""Tables that grow with the corpus are not broadcast, as each broadcast goes through the driver."""
+"""Tables that grow with the corpus are not broadcast, as each broadcast goes through the driver; training in slices."""
 
-from votelake.llm import common, similar, simhash
+import numpy as np
+
+from votelake.llm import common, similar, simhash, toxicity
 
 
 def broadcast_joins(spark, run):
@@ -41,3 +43,19 @@ def test_near_copies_broadcast_no_numbers_beyond_the_limit(spark, monkeypatch):
     listed = rows.filter("doc_id % 3 = 0").select(common.ROW)
     n, got = broadcast_joins(spark, lambda: common.by_number(rows, listed, "left_anti").select("doc_id").collect())
     assert n == 0 and {r[0] for r in got} == {i for i in range(39) if i % 3}
+
+
+def test_tokens_hashed_in_slices(monkeypatch):
+    tokens = [f"word{i * 37 % 1009}x{'y' * (i % 5)}" for i in range(700)] + ["", "--", "é"]
+    row, owner = toxicity.bags(tokens)
+    order = np.argsort(owner, kind="stable")
+    calls = []
+    bags = toxicity.bags
+    monkeypatch.setattr(toxicity, "bags", lambda t: calls.append(len(t)) or bags(t))
+    monkeypatch.setattr(toxicity, "SLICE", 64)
+    got = toxicity.sorted_bags(tokens)
+    assert max(calls) <= 64 and got[0].tolist() == row[order].tolist() and got[1].tolist() == owner[order].tolist()
+    assert toxicity.sorted_bags([])[0].size == 0
+    calls.clear()
+    toxicity.fit([" ".join(tokens[:350]), " ".join(tokens[350:])], [0, 1])
+    assert max(calls) <= 64

@@ -55,6 +55,8 @@ SEED = 7
 THRESHOLD = 0.7
 CACHE = 100_000
 GROUP = 400_000
+#: Tokens hashed at a time in training.
+SLICE = 10_000
 
 _JUNK = re.compile(r"[^\w\n]+|_+")
 _LONGEST_WORD = 64
@@ -112,6 +114,17 @@ def bags(tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return rows[some], owners[some]
 
 
+def sorted_bags(tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """``bags`` in order of the token, hashed ``SLICE`` tokens at a time: its arrays are far larger than the tokens."""
+    rows, owners = [np.zeros(0, dtype=np.int32)], [np.zeros(0, dtype=np.int32)]
+    for at in range(0, len(tokens), SLICE):
+        row, owner = bags(tokens[at : at + SLICE])
+        order = np.argsort(owner, kind="stable")
+        rows.append(row[order].astype(np.int32))
+        owners.append((owner[order] + at).astype(np.int32))
+    return np.concatenate(rows), np.concatenate(owners)
+
+
 @dataclass
 class Model:
     """``rows[g]``: what table row g adds to the logit of class 1; ``bias`` that of a window."""
@@ -131,15 +144,11 @@ def fit(texts: list[str], labels: list[int]) -> Model:
         stream.extend(ids.setdefault(w, len(ids)) for w in tokens_of(text))
         per_text.append(len(stream) - before)
     n_words, n_texts = len(ids), len(texts)
-    grams, owner = bags(list(ids)) if ids else (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))
+    grams, owner = sorted_bags(list(ids))
     del ids
     n_sub = np.bincount(owner, minlength=n_words)
-    order = np.argsort(owner, kind="stable")
-    grams, owner = grams[order].astype(np.int32), owner[order].astype(np.int32)
-    del order
     stream, length = np.frombuffer(stream, dtype=np.int32).astype(np.intp), np.frombuffer(per_text, dtype=np.int32)
     y = np.array(labels, dtype=np.float64)
-    text_of = np.repeat(np.arange(n_texts), length)
     in_text = np.arange(len(stream)) - np.repeat(np.cumsum(length) - length, length)
     windows = -(-length // WINDOW)
     window_of = in_text // WINDOW + np.repeat(np.cumsum(windows) - windows, length)
@@ -171,15 +180,22 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     for step in range(1, EPOCHS + 1):
         diff = soft[:, 1] - soft[:, 0]
         bag = [np.bincount(window_of, weights=(np.bincount(owner, weights=table[k][grams], minlength=n_words) * per_word)[stream], minlength=n_windows) * per_window for k in range(DIM)]
-        logit = sum(d * x for d, x in zip(diff, bag, strict=True)) + bias[1] - bias[0]
-        clean = -np.logaddexp(0.0, logit)  # log of the softmax's class 0
+        logit = sum(d * x for d, x in zip(diff, bag, strict=True))
+        logit += bias[1]
+        logit -= bias[0]
+        clean = np.logaddexp(0.0, logit)
+        np.negative(clean, out=clean)  # log of the softmax's class 0
         q = np.minimum(np.bincount(doc_of, weights=clean, minlength=n_texts), -1e-9)
         grad_q = np.where(y > 0, np.exp(q) / -np.expm1(q), -1.0) * balance / n_texts
-        grad = grad_q[doc_of] * -np.exp(logit + clean)
+        grad = np.add(logit, clean, out=clean)
+        np.negative(np.exp(grad, out=grad), out=grad)
+        grad *= grad_q[doc_of]
+        del logit, clean
         to_word = np.bincount(stream, weights=(grad * per_window)[window_of], minlength=n_words) * per_word
         to_table = np.bincount(grams, weights=to_word[owner], minlength=BUCKETS)
         g_soft = np.array([x @ grad for x in bag])
         grads = [diff[:, None] * to_table[None, :], np.stack([-g_soft, g_soft], axis=1), np.array([-grad.sum(), grad.sum()])]
+        del bag, grad
         for p, g, mi, vi in zip(params, grads, m, v, strict=True):
             mi += 0.1 * (g - mi)
             vi += 0.01 * (g * g - vi)

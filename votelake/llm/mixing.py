@@ -32,6 +32,8 @@ MAX_REPEATS = 3
 MOST_RANGES = 200_000
 #: Words that a partition of the training stream holds about.
 PART_WORDS = 20_000_000
+#: Rows that a range of the query's positions holds about.
+PART_ROWS = 500_000
 
 
 def word_count(text: Column) -> Column:
@@ -150,8 +152,22 @@ def mix(docs: DataFrame) -> DataFrame:
     return each.repartitionById(partitions, part).sortWithinPartitions("__vl_at", "__vl_h").drop("__vl_at", "__vl_h")
 
 
+def by_position(mixed: DataFrame, rows: int) -> DataFrame:
+    """The rows of ``plan`` in training order: a partition for each range of position, sorted within.
+
+    Rows that are never due have no position; they stand in as many partitions
+    after the others, dealt by hash.  ``rows`` is how many there are of both.
+    """
+    ranges = max(int(mixed.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows // PART_ROWS)
+    due_in = F.least(F.lit(ranges - 1), F.floor(F.col("position") * ranges))
+    never = ranges + F.pmod(F.xxhash64("h", "doc_id"), F.lit(ranges))
+    part = F.when(F.col("position").isNull(), never).otherwise(due_in).cast("int")  # least() passes nulls over
+    return mixed.repartitionById(2 * ranges, part).sortWithinPartitions("position", "h", "doc_id", "size")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = plan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    mixed = by_position(plan(docs), docs.count())
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "position")
 
 

@@ -60,11 +60,17 @@ def confusion(examples: DataFrame, labels: DataFrame, abstain_adds_fn: bool = Tr
     rows = labels.select("id", "label").join(examples.filter("gold is not null").select("id", "split", "gold"), "id")
     if not abstain_adds_fn:
         rows = rows.filter(F.col("label") != ABSTAIN)
+    return tally(rows)
+
+
+def tally(rows: DataFrame) -> DataFrame:
+    """(split, class, tp, fp, fn) of rows(split, gold, label); a row with a column n stands for n rows."""
+    many = F.col("n") if "n" in rows.columns else F.lit(1)
     hit = F.col("label") == F.col("gold")
     one = F.struct(F.col("gold").alias("class"), hit.cast("int").alias("tp"), F.lit(0).alias("fp"), (~hit).cast("int").alias("fn"))
     two = F.struct(F.col("label").alias("class"), F.lit(0).alias("tp"), (~hit).cast("int").alias("fp"), F.lit(0).alias("fn"))
-    parts = rows.select("split", F.explode(F.array(one, two)).alias("c")).select("split", "c.*").filter(F.col("class") >= 0)
-    return parts.groupBy("split", "class").agg(*[F.sum(k).alias(k) for k in ("tp", "fp", "fn")])
+    parts = rows.select("split", many.alias("n"), F.explode(F.array(one, two)).alias("c")).select("split", "n", "c.*").filter(F.col("class") >= 0)
+    return parts.groupBy("split", "class").agg(*[F.sum(F.col(k) * F.col("n")).alias(k) for k in ("tp", "fp", "fn")])
 
 
 def prf(c: DataFrame) -> DataFrame:

@@ -155,12 +155,32 @@ def keywords(grouped: DataFrame, background: DataFrame, k: int = 15, least: int
     df_t = grouped.select("group", F.explode("tokens").alias("word")).groupBy("group", "word").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") >= least)
     n_bg = background.agg(F.count(F.lit(1)).alias("n_bg")).withColumn("__k", F.lit(1))
     df_bg = background.select(F.explode("tokens").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df_bg"))
+    return _top_words(df_t, n_t, df_bg, n_bg, k)
+
+
+def _top_words(df_t: DataFrame, n_t: DataFrame, df_bg: DataFrame, n_bg: DataFrame, k: int) -> DataFrame:
     met = df_t.join(n_t, "group").join(df_bg, "word", "left").fillna(0, ["df_bg"]).withColumn("__k", F.lit(1)).join(n_bg, "__k").drop("__k")
     score = F.coalesce(ratio("df", "n_t"), F.lit(0.0)) / (F.coalesce(ratio("df_bg", "n_bg"), F.lit(0.0)) + 0.005)
     top = Window.partitionBy("group").orderBy(F.desc("score"), "word")
     return met.select("group", "word", "df", score.alias("score")).withColumn("rank", F.row_number().over(top)).filter(F.col("rank") <= k)
 
 
+def word_counts(rows: DataFrame) -> DataFrame:
+    """(group, word, df): how many rows(group, tokens) of a group hold a word; the null word stands for all rows of the group."""
+    words = F.concat("tokens", F.array(F.lit(None).cast("string")))
+    return rows.select("group", F.explode(words).alias("word")).groupBy("group", "word").agg(F.count(F.lit(1)).alias("df"))
+
+
+def counted_keywords(counts: DataFrame, k: int = 15, least: int = 3) -> DataFrame:
+    """``keywords`` of the groups of ``word_counts`` against all their rows, those without a group too; counts is read several times, so it should be cached."""
+    named, known = F.col("group").isNotNull(), F.col("word").isNotNull()
+    n_t = counts.filter(~known & named).select("group", F.col("df").alias("n_t"))
+    df_t = counts.filter(known & named & (F.col("df") >= least))
+    n_bg = counts.filter(~known).agg(F.sum("df").alias("n_bg")).withColumn("__k", F.lit(1))
+    df_bg = counts.filter(known).groupBy("word").agg(F.sum("df").alias("df_bg"))
+    return _top_words(df_t, n_t, df_bg, n_bg, k)
+
+
 def seed_stats(stats: DataFrame, seed_ids: DataFrame) -> DataFrame:
     """Class prior and coverage recall on a labelled seed: class, pi, recall."""
     seed = stats.join(seed_ids.select("id"), "id").filter("gold is not null")
@@ -304,8 +324,8 @@ def feature_profile(examples: DataFrame, bool_features: tuple[str, ...]) -> Data
 
 def cluster_keywords(assigned: DataFrame, tokens: DataFrame, k: int = 10) -> DataFrame:
     """Distinctive words of each cluster against all rows: group is the centre; tokens(id, tokens)."""
-    grouped = assigned.select("id", F.col("center").alias("group")).join(tokens, "id")
-    return keywords(grouped.select("group", "tokens"), tokens.select("tokens"), k)
+    grouped = tokens.join(assigned.select("id", F.col("center").alias("group")), "id", "left")
+    return counted_keywords(word_counts(grouped).cache(), k)
 
 
 def memory_summary(history: DataFrame, coverage: DataFrame, points: int = 5) -> tuple[DataFrame, DataFrame]:

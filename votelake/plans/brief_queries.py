@@ -11,7 +11,7 @@ from votelake.operators import labelmodel as lm
 from votelake.plans import aggregation as agg
 from votelake.plans import prompts as pr
 from votelake.plans import tasks as tk
-from votelake.plans.analysis_queries import _CENTERS, _EVENT_CLASS, _assigned, _event_log
+from votelake.plans.analysis_queries import _CENTERS, _EVENT_CLASS, _centered, _event_log
 from votelake.plans.label_queries import C, lang, six
 from votelake.plans.registry import query
 from votelake.plans.text_queries import _turn_pairs
@@ -78,14 +78,14 @@ _WORDS_SQL = f"""{_CENTERS}, bg AS (SELECT w, count(*) AS dfb FROM (SELECT unnes
   kw AS (SELECT center, w, df, row_number() OVER (PARTITION BY center ORDER BY (df::DOUBLE / nt) / (dfb::DOUBLE / nb + 0.005::DOUBLE) DESC, w) AS k FROM dt JOIN nt USING (center) JOIN bg USING (w), nb)"""
 
 
-def _cluster_words(spark, d, assigned):
-    tokens = tk.lang4(spark, d).select("id", tx.tokens(F.col("text")).alias("tokens"))
-    return az.cluster_keywords(assigned, tokens, pr.WORDS)
+def _cluster_words(near):
+    """Every document has a centre, so its words are counted beside it: no text is shuffled."""
+    return az.counted_keywords(az.word_counts(near.select(F.col("center").alias("group"), F.col("t").alias("tokens"))).cache(), pr.WORDS)
 
 
 @query(f"WITH {_WORDS_SQL} SELECT center, w AS word, df, cast(k AS INTEGER) AS rank FROM kw WHERE k <= 10")
 def cluster_keywords(spark, d):
-    return _cluster_words(spark, d, _assigned(spark, d)[0]).select(F.col("group").alias("center"), "word", "df", "rank")
+    return _cluster_words(_centered(spark, d)[0]).select(F.col("group").alias("center"), "word", "df", "rank")
 
 
 _NAMES = "['" + "', '".join(tk.LANG.classes) + "']"
@@ -98,10 +98,11 @@ _NAMES = "['" + "', '".join(tk.LANG.classes) + "']"
 SELECT cast(position AS INTEGER) AS position, CASE WHEN label IS NULL THEN 'Cluster ' || position || ': mostly without votes' ELSE 'Cluster ' || position || ': class ' || label || ' (' || {_NAMES}[label + 1] || ')' END || coalesce(chr(10) || sw.t, '') || coalesce(chr(10) || sh.t, '') AS text
 FROM pos LEFT JOIN tl USING (center) LEFT JOIN sw USING (center) LEFT JOIN sh USING (center) WHERE position <= 6""")
 def cluster_brief(spark, d):
-    assigned, w = _assigned(spark, d)
-    summary, top = az.clusters(assigned, w)
-    examples = top.join(tk.lang4(spark, d).select("id", "text"), "id")
-    return pr.render_clusters(summary.withColumn("mass", six("mass")), _cluster_words(spark, d, assigned), examples, tk.LANG)
+    near, w = _centered(spark, d)
+    summary, top = az.clusters(near.drop("t").cache(), w)
+    # six rows a cluster
+    examples = tk.lang4(spark, d).select("id", "text").join(F.broadcast(top), "id")
+    return pr.render_clusters(summary.withColumn("mass", six("mass")), _cluster_words(near), examples, tk.LANG)
 
 
 @query(f"""WITH e AS (SELECT {_EVENT_CLASS} AS class, event_id, cast(event_id % 12 AS INTEGER) AS iter, event_type, value FROM events), r AS (SELECT *, row_number() OVER (PARTITION BY class ORDER BY event_id DESC) AS k FROM e),

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from votelake.functions import text as tx
-from votelake.operators.analyze import keywords
+from votelake.operators.analyze import counted_keywords, word_counts
 from votelake.operators.annotators import Annotator, keyword_rule
 
 
@@ -28,11 +28,15 @@ class KeywordMiner:
 
     def __init__(self, bank: int = 4):
         self.bank, self.used = bank, 0
+        self.read, self.counts = None, None
 
     def propose(self, examples: DataFrame, targets: list[int], n: int, tag: str) -> list[Annotator]:
-        rows = examples.filter("split = 'train' and gold is not null").select(F.col("gold").alias("group"), tx.tokens(F.col("text")).alias("tokens"))
-        wanted = rows.filter(F.col("group").isin(*targets)) if targets else rows
-        top = keywords(wanted, rows, k=self.bank * (n + self.used)).collect()  # classes x words, bounded by the parameters
+        if self.read is not examples:
+            rows = examples.filter("split = 'train' and gold is not null").select(F.col("gold").alias("group"), tx.tokens(F.col("text")).alias("tokens"))
+            # classes x words, counted once for all calls
+            self.read, self.counts = examples, word_counts(rows).cache()
+        ranked = counted_keywords(self.counts, k=self.bank * (n + self.used))
+        top = (ranked.filter(F.col("group").isin(*targets)) if targets else ranked).collect()  # classes x words, bounded by the parameters
         out = []
         for c in sorted({r["group"] for r in top}):
             words = [r["word"] for r in sorted(top, key=lambda r: r["rank"]) if r["group"] == c]

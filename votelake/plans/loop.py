@@ -49,12 +49,26 @@ class Evolution:
     killed: list[tuple[int, str, str]] = field(default_factory=list)
     votes: DataFrame | None = None
 
+    def __post_init__(self) -> None:
+        # what the analyses join to votes: three small columns, not the texts
+        self.rows = self.examples.select("id", "split", "gold").cache()
+        self.scores: dict[str, list] = {}
+
     def _run(self, candidates: list[Annotator]) -> DataFrame:
-        return run_pool(self.examples, candidates).cache()
+        return run_pool(self.examples, candidates, once=True)
+
+    def _metrics(self, names: list[str]) -> DataFrame:
+        """Metrics of annotators that were run; they never change, so they are counted once, when an annotator is."""
+        return self.examples.sparkSession.createDataFrame([r for n in names for r in self.scores[n]], self.schema)
 
-    def _metrics(self, votes: DataFrame, names: list[str]) -> DataFrame:
+    def _measure(self, votes: DataFrame, names: list[str]) -> DataFrame:
         pool = self.examples.sparkSession.createDataFrame([(n,) for n in names], "lf string")
-        return mt.annotator_metrics(self.examples, votes, pool).cache()
+        m = mt.annotator_metrics(self.rows, votes, pool)
+        self.schema = m.schema
+        self.scores |= {n: [] for n in names}
+        for r in m.collect():  # pool x splits
+            self.scores[r["lf"]].append(r)
+        return self._metrics(names)
 
     def admit(self, candidates: list[Annotator], step: int, consistency: bool = True) -> list[str]:
         """Gates in order of cost: threshold on val, train/val gap, Jaccard against the pool."""
@@ -63,11 +77,11 @@ class Evolution:
             return []
         s = self.settings
         votes = self._run(fresh)
-        m = self._metrics(votes, [c.name for c in fresh])
+        m = self._measure(votes, [c.name for c in fresh])
         passed = ev.threshold_gate(m.filter("split = 'val'"), s.min_precision, s.min_fires).select("lf")
         steady = ev.consistency_gate(m, s.gap).select("lf") if consistency else passed
-        kept = passed.join(steady, "lf", "left_semi")
-        alive = votes.join(kept, "lf", "left_semi")
+        kept = [r["lf"] for r in passed.join(steady, "lf", "left_semi").collect()]  # the pool at most
+        alive = votes.filter(F.col("lf").isin(kept)) if kept else votes.limit(0)
         existing = self.votes if self.votes is not None else votes.limit(0)
         names = ev.greedy_jaccard(existing.filter("split = 'val'"), alive.filter("split = 'val'"), s.jaccard)
         final = m.sparkSession.createDataFrame([(n,) for n in names], "lf string")
@@ -85,10 +99,12 @@ class Evolution:
             self.votes = self.votes.filter(~F.col("lf").isin(names))
 
     def evaluate(self) -> dict:
-        labels = ag.majority(self.examples, self.votes)
-        c = mt.prf(mt.confusion(self.examples, labels)).filter(F.col("split") == self.settings.gate_split)
+        held, votes = (x.filter(F.col("split") == self.settings.gate_split) for x in (self.rows, self.votes))
+        labels = ag.majority(held, votes).cache()
+        c = mt.prf(mt.confusion(held, labels))
         rows = {r["class"]: r["f1"] for r in c.select("class", "f1").collect()}  # one row a class
-        total = mt.evaluate(self.examples, labels).filter(F.col("split") == self.settings.gate_split).first()
+        total = mt.evaluate(held, labels).first()
+        labels.unpersist()
         f1 = [rows.get(k) or 0.0 for k in range(self.n_classes)]
         return {"macro_f1": sum(f1) / self.n_classes, "f1": f1, "coverage": total["coverage"] if total else 0.0, "accuracy": total["accuracy_on_covered"] if total else None, "pool": len(self.pool)}
 
@@ -107,16 +123,16 @@ class Evolution:
             weak = sorted((f, c) for c, f in enumerate(before["f1"]) if f < s.f1_threshold and c not in blocked)[: s.max_targets]
             new = self.admit(self.provider.propose(self.examples, [c for _, c in weak], s.per_round, f"i{k:02d}"), k)
             if k >= s.refine_from:
-                targets = ev.refine_targets(self._metrics(self.votes, list(self.pool)).filter("split = 'train'")).collect()
+                targets = ev.refine_targets(self._metrics(list(self.pool)).filter("split = 'train'")).collect()
                 classes = sorted({self.pool[t["lf"]].target for t in targets if self.pool[t["lf"]].target is not None})
                 if classes:
                     new += self.admit(self.provider.propose(self.examples, classes, 2, f"r{k:02d}"), k, consistency=False)
             if new:
                 val = self.votes.filter("split = 'val'")
-                p = self._metrics(val, list(self.pool)).filter("split = 'val'").select("lf", F.coalesce("precision", F.lit(0.0)).alias("precision"))
+                p = self._metrics(list(self.pool)).filter("split = 'val'").select("lf", F.coalesce("precision", F.lit(0.0)).alias("precision"))
                 names = self.examples.sparkSession.createDataFrame([(n,) for n in new], "lf string")
                 self.drop([r["lf"] for r in ev.subsumed(val, p, names, gain=s.subsumption_gain).collect()])
-                self.drop(ev.ablate(self.examples.filter("split = 'val'"), self.votes.filter("split = 'val'"), new, self.n_classes, s.ablation))
+                self.drop(ev.ablate(self.rows.filter("split = 'val'"), self.votes.filter("split = 'val'"), new, self.n_classes, s.ablation))
             after = self.evaluate()
             ok = ev.accept(before["macro_f1"], after["macro_f1"], s.drop, s.min_gain)
             if not ok:

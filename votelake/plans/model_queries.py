@@ -110,7 +110,7 @@ def soft_label_rows(spark, d):
 
 @query()
 def evolution_loop(spark, d):
-    ex = tk.lang4(spark, d).select("id", "split", "gold", "text", "text_lower", "num_words").cache()
+    ex = tk.lang4(spark, d).select("id", "split", "gold", "text", "text_lower", "num_words")
     run = Evolution(ex, C, KeywordMiner(), Settings())
     return spark.createDataFrame([(h["iter"], h["accepted"], h["pool"], float(h["macro_f1"])) for h in run.run()], "iter int, accepted boolean, pool int, macro_f1 double")
 

@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 
 from votelake.functions import text as tx
 from votelake.operators import analyze as az
+from votelake.operators import downstream as ds
 from votelake.operators import labelmodel as lm
 from votelake.operators import metrics as mt
+from votelake.operators import providers as pv
 from votelake.operators import similarity as si
-from votelake.operators.annotators import regex_rule, run_pool
+from votelake.operators.annotators import keyword_rule, regex_rule, run_pool
+from votelake.plans.loop import Evolution, Settings
 
 
 def _plan(df):
@@ -104,3 +107,45 @@ def test_nearest_center_keeps_columns(spark):
     centers = spark.createDataFrame([(7, 1, ["a"]), (8, 2, ["b"])], "center int, rank int, t array<string>")
     got = si.nearest_center(docs, centers, lambda c: tx.jaccard_sets(F.col("t"), c["t"]), keep=("t",))
     assert {(r["id"], r["center"], r["t"][0]) for r in got.collect()} == {(1, 7, "a"), (2, 8, "b")}
+
+
+def test_keyword_rules_share_the_words_of_a_text(spark):
+    banks = {"k0": ["der", "und"], "k1": ["d'un", "qu"], "k2": ["x"]}
+    texts = ["und so", "wunder", "der\n", "d'un", "ad'un d'una", "qu'd'un", "1der2", "", "x", "ax xb", None]
+    rows = spark.createDataFrame([(i, "a", t) for i, t in enumerate(texts)], "id int, split string, text_lower string")
+    votes = run_pool(rows, [keyword_rule(n, 0, ws) for n, ws in banks.items()])
+    want = run_pool(rows, [regex_rule(n, 0, f"(^|[^a-z])({'|'.join(ws)})([^a-z]|$)") for n, ws in banks.items()])
+    assert sorted(map(tuple, votes.collect())) == sorted(map(tuple, want.collect()))
+    assert votes._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+
+
+def test_loop_counts_words_and_metrics_once(spark, monkeypatch):
+    rows = [(i, ("train", "train", "val")[i % 3], i % 2, f"w{'ab'[i % 2]} common {'red' if i % 2 else 'blue'}") for i in range(90)]
+    ex = spark.createDataFrame(rows, "id long, split string, gold int, text string").withColumn("text_lower", F.lower("text"))
+    calls = {"words": 0, "metrics": []}
+    count, measure = pv.word_counts, mt.annotator_metrics
+    monkeypatch.setattr(pv, "word_counts", lambda r: (calls.__setitem__("words", calls["words"] + 1), count(r))[1])
+    monkeypatch.setattr(mt, "annotator_metrics", lambda e, v, p: (calls["metrics"].extend(r["lf"] for r in p.collect()), measure(e, v, p))[1])
+    history = Evolution(ex, 2, pv.KeywordMiner(bank=1), Settings(iterations=1, per_round=1)).run()
+    assert calls["words"] == 1 and len(calls["metrics"]) == len(set(calls["metrics"]))
+    assert history[0]["macro_f1"] == 1.0
+
+
+def test_self_training_takes_texts_once(spark, monkeypatch):
+    rows = [(i, "val" if i % 3 == 0 else "test", "red rose" if i % 2 else "blue sky") for i in range(24)]
+    ex = spark.createDataFrame(rows, "id long, split string, text string")
+    seed = ex.filter("split = 'val'").select("id", (F.col("id") % 2).cast("int").alias("label"), F.lit(1.0).alias("weight"))
+    calls, tokens = [], ds.with_tokens
+    monkeypatch.setattr(ds, "with_tokens", lambda e: (calls.append(1), tokens(e))[1])
+    out = ds.self_train(ex, seed, rounds=1)
+    assert out.filter(F.col("label") == F.col("id") % 2).count() == 24 and len(calls) == 1
+
+
+def test_grid_takes_texts_once(spark, monkeypatch):
+    rows = [(i, "test" if i % 4 == 0 else "train", i % 2, "red rose" if i % 2 else "blue sky") for i in range(40)]
+    ex = spark.createDataFrame(rows, "id long, split string, gold int, text string")
+    weak = ex.filter("split = 'train'").select("id", F.col("gold").alias("label"), F.lit(0.5).alias("weight"))
+    calls, tokens = [], ds.with_tokens
+    monkeypatch.setattr(ds, "with_tokens", lambda e: (calls.append(1), tokens(e))[1])
+    out = {r["run"] for r in ds.efficiency_grid(ex, weak, 2, sizes=(4,)).select("run").collect()}
+    assert out == {"weak", "oracle", "golden_4", "both_4"} and len(calls) == 1

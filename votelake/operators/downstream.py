@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, HashingTF
@@ -34,15 +36,21 @@ def with_tokens(examples: DataFrame) -> DataFrame:
     return examples.withColumn("tokens", tx.tokens(F.col("text")))
 
 
+def with_tf(examples: DataFrame, n_features: int = 1 << 16) -> DataFrame:
+    """tf: hashed term counts, for tables that several fits and predictions read."""
+    return HashingTF(inputCol="tokens", outputCol="tf", numFeatures=n_features).transform(with_tokens(examples)).drop("tokens")
+
+
 def train(rows: DataFrame, n_features: int = 1 << 16, iterations: int = 30, reg: float = 1e-4) -> PipelineModel:
-    """rows(tokens, label, weight); soft labels come as one row a class with its probability as weight."""
+    """rows(tokens or tf, label, weight); soft labels come as one row a class with its probability as weight."""
     lr = LogisticRegression(labelCol="y", weightCol="weight", featuresCol="features", maxIter=iterations, regParam=reg, family="multinomial")
-    stages = [HashingTF(inputCol="tokens", outputCol="tf", numFeatures=n_features), IDF(inputCol="tf", outputCol="features"), lr]
-    return Pipeline(stages=stages).fit(rows.withColumn("y", F.col("label").cast("double")).withColumn("weight", F.col("weight").cast("double")))
+    hashing = [] if "tf" in rows.columns else [HashingTF(inputCol="tokens", outputCol="tf", numFeatures=n_features)]
+    return Pipeline(stages=[*hashing, IDF(inputCol="tf", outputCol="features"), lr]).fit(rows.withColumn("y", F.col("label").cast("double")).withColumn("weight", F.col("weight").cast("double")))
 
 
 def predict(model: PipelineModel, examples: DataFrame) -> DataFrame:
-    out = model.transform(with_tokens(examples))
+    """id, split, label, proba; ``examples`` have tf if the model was fitted on it, else text."""
+    out = model.transform(examples if "tf" in examples.columns else with_tokens(examples))
     return out.select("id", "split", F.col("prediction").cast("int").alias("label"), vector_to_array("probability").alias("proba"))
 
 
@@ -54,14 +62,16 @@ def clean_then_noisy(noisy: DataFrame, clean: DataFrame, clean_weight: float = 5
 
 def self_train(examples: DataFrame, seed_rows: DataFrame, rounds: int = 2, confidence: float = 0.9) -> DataFrame:
     """Refits on its own confident predictions; seed rows keep their labels.  Returns final predictions."""
-    tokens = with_tokens(examples).select("id", "tokens").cache()
-    rows, out = seed_rows, None
+    # seed labels are put beside the texts' counts once; predictions are columns of the same rows, so no round joins or reads texts
+    seed = seed_rows.select("id", F.col("label").alias("__label"), F.col("weight").alias("__weight"))
+    held = with_tf(examples.select("id", "split", "text")).select("id", "split", "tf").join(seed, "id", "left").cache()
+    rows, model = held.filter("__label is not null").select("tf", F.col("__label").alias("label"), F.col("__weight").alias("weight")), None
     for _ in range(rounds + 1):
-        model = train(rows.join(tokens, "id"))
-        out = predict(model, examples)
-        sure = out.filter(F.array_max("proba") >= confidence).join(seed_rows.select("id"), "id", "left_anti")
-        rows = seed_rows.unionByName(sure.select("id", "label", F.array_max("proba").alias("weight")))
-    return out
+        model = train(rows)
+        out = model.transform(held).withColumn("__p", F.array_max(vector_to_array("probability"))).drop("features")
+        mine = F.col("__label").isNotNull()
+        rows = out.filter(mine | (F.col("__p") >= confidence)).select("tf", F.when(mine, F.col("__label")).otherwise(F.col("prediction").cast("int")).alias("label"), F.when(mine, F.col("__weight")).otherwise(F.col("__p")).alias("weight"))
+    return predict(model, held)
 
 
 def efficiency_grid(examples: DataFrame, weak: DataFrame, n_classes: int, sizes: tuple[int, ...] = (50, 200)) -> DataFrame:
@@ -69,15 +79,19 @@ def efficiency_grid(examples: DataFrame, weak: DataFrame, n_classes: int, sizes:
     from votelake.operators.sampling import stratified_proportional
 
     gold = examples.filter("split = 'train' and gold is not null").select("id", F.col("gold").alias("label"), F.lit(1.0).alias("weight"))
-    tokens = with_tokens(examples).select("id", "tokens").cache()
     runs: dict[str, DataFrame] = {"weak": weak, "oracle": gold}
     for n in sizes:
         part = stratified_proportional(gold, n, label="label")
         runs[f"golden_{n}"] = part.select("id", "label", "weight")
         runs[f"both_{n}"] = clean_then_noisy(weak, part.select("id", "label", "weight"))
-    test, out = examples.filter("split = 'test'"), None
-    for name, rows in runs.items():
-        labels = predict(train(rows.join(tokens, "id")), test)
+    # labels and weights of all runs beside the texts' counts, put there once
+    tagged = functools.reduce(DataFrame.unionByName, [rows.select("id", F.lit(name).alias("run"), F.col("label").cast("int").alias("label"), F.col("weight").cast("double").alias("weight")) for name, rows in runs.items()])
+    marks = tagged.groupBy("id").agg(*[F.max(F.when(F.col("run") == name, F.struct("label", "weight"))).alias(f"__{name}") for name in runs])
+    used = examples.select("id", "split", "gold", "text").join(marks, "id", "left").filter("split = 'test' or " + " or ".join(f"__{name} is not null" for name in runs))
+    held = with_tf(used).drop("text").cache()
+    test, out = held.filter("split = 'test'").select("id", "split", "gold", "tf"), None
+    for name in runs:
+        labels = predict(train(held.filter(F.col(f"__{name}").isNotNull()).select("tf", f"__{name}.label", f"__{name}.weight")), test)
         row = macro_f1(confusion(test, labels), n_classes).select(F.lit(name).alias("run"), "macro_f1")
         out = row if out is None else out.unionByName(row)
     return out
